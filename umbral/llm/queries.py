@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, oracles, topk
+from . import bpe, decontam, langid, oracles, simhash, topk
 from .common import table
 
 
@@ -21,9 +21,26 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def learns(modulus: int, *, held: int):
+    """Rows whose crc32 of the id's digits leaves another remainder than `held`; null ids teach nothing."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != held
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = langid.fit(docs, learns(5, held=0))
+    found = langid.predictions(docs, models, ["doc_id"])
+    return found.select("doc_id", (~learns(5, held=0)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.clusters(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_language, op4_simhash, op10_topk)}
 ORACLES = {"op1_decontaminate": oracles.DECONTAMINATE, "op10_topk": oracles.TOPK}
