@@ -1,7 +1,7 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-One model per language, over n-grams of up to ORDER characters of the lower-cased text (digits
-are one symbol, control characters and spaces another). All models lie in common sorted arrays of
+One model per language, over n-grams of up to ORDER characters of the lower-cased text (each run of
+digits, marks and white space is one space). All models lie in common sorted arrays of
 n-gram hashes, each with one row of log-probabilities, one column per language: the interpolated
 value where the language has the n-gram, its back-off where it hasn't. The language of lowest
 cross-entropy per character wins; ties go to the name that sorts first.
@@ -37,11 +37,14 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def codes_of(text: str) -> np.ndarray:
-    """Code points after normalisation, with ORDER - 1 spaces before them."""
-    c = np.frombuffer((" " * (ORDER - 1) + text.lower()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    c[c <= 32] = 32
-    c[(c >= 48) & (c <= 57)] = 48
-    return c
+    """Code points of the lower-cased text, with ORDER - 1 spaces before them; each run of what is no letter is one space."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    other = (c < 97) | ((c > 122) & (c < 0xAA)) | ((c > 0xAA) & (c < 0xC0) & (c != 0xB5) & (c != 0xBA)) | ((c >= 0x2000) & (c < 0x2070))
+    again = other.copy()
+    again[1:] &= other[:-1]
+    again[:1] = False
+    c = np.where(other, 32, c)[~again if len(c) else slice(0)]
+    return np.concatenate([np.full(ORDER - 1, 32, np.uint64), c.astype(np.uint64)])
 
 
 def has_letter(text: str) -> bool:
