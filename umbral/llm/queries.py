@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, oracles, simhash, topk
+from . import bpe, decontam, langid, oracles, secrets, simhash, topk, urls
 from .common import table
 
 
@@ -38,9 +38,30 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: Fixed rules of the query: verdict, then host and path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number that ends a page's path is the document it shows; that document's label is the page's outcome."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract("path", r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    shown = urls.parsed(pages, "page_id", "url").select("host", F.when(number != "", number.cast("long")).alias("doc_id")).where("doc_id IS NOT NULL")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), 0).alias("bad"))
+    outcomes = shown.join(labels, "doc_id").select("host", "bad")
+    return urls.judge(pages, outcomes, URL_RULES)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = secrets.base_only(F.col("spans"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.written(base).cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_language, op4_simhash, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_language, op4_simhash, op5_urls, op8_secrets, op10_topk)}
 ORACLES = {"op1_decontaminate": oracles.DECONTAMINATE, "op10_topk": oracles.TOPK}
