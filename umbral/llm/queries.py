@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, langid, oracles, secrets, simhash, topk, urls
+from . import bpe, decontam, html, langid, lm, oracles, secrets, simhash, topk, urls
 from .common import table
 
 
@@ -52,6 +52,15 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, outcomes, URL_RULES)
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    found = lm.score(docs, learns(7, held=2), path, pattern, size=50_257, end=50_256)
+    return found.select("doc_id", (~learns(7, held=2)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = secrets.base_only(F.col("spans"))
@@ -67,5 +76,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_language, op4_simhash, op5_urls, op8_secrets, op9_html, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_language, op4_simhash, op5_urls, op7_lm, op8_secrets, op9_html, op10_topk)}
 ORACLES = {"op1_decontaminate": oracles.DECONTAMINATE, "op10_topk": oracles.TOPK}
