@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, langid, lm, oracles, secrets, simhash, topk, urls
+from . import bpe, decontam, html, langid, licenses, lm, oracles, secrets, simhash, topk, urls
 from .common import table
 
 
@@ -52,6 +52,13 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, outcomes, URL_RULES)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    sure = F.filter("found", lambda x: x["confirmed"])
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",")
+    return found.select("doc_id", F.size("found").cast("long").alias("n_predicted"), F.size(sure).cast("long").alias("n_confirmed"), names.alias("licenses"))
+
+
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,5 +83,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_language, op4_simhash, op5_urls, op7_lm, op8_secrets, op9_html, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_language, op4_simhash, op5_urls, op6_licenses, op7_lm, op8_secrets, op9_html, op10_topk)}
 ORACLES = {"op1_decontaminate": oracles.DECONTAMINATE, "op10_topk": oracles.TOPK}
