@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Longer texts are handed to the library in pieces of about this many characters.
 PIECE = 1 << 16
+#: Bytes of input whose results a worker holds at once, where rows are shorter.
+BATCH_BYTES = 1 << 19
 
 #: No match of the pattern spans these places: a letter or digit before white space, a letter
 #: before a digit, a digit before a letter.
@@ -58,36 +60,67 @@ def encode_text(encoder, text: str | None, size: int = PIECE) -> list[int]:
     return [i for piece in pieces(text, size) for i in encoder.encode_ordinary(piece)]
 
 
-def _add(df: DataFrame, name: str, kind: T.DataType, source: Column, batch) -> DataFrame:
-    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
-    schema = T.StructType([*df.select(*kept).schema, T.StructField(name, kind)])
+def _slices(batch: pa.RecordBatch, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose last column has about `size` bytes: ids take far more room than text."""
+    width = max(1, batch.columns[-1].nbytes // max(1, batch.num_rows))
+    step = max(1, size // width)
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def _add(df: DataFrame, added: dict[str, tuple[T.DataType, pa.DataType]], source: Column, start) -> DataFrame:
+    """df without the columns `added`, then with them: start() gives a function from a value of source to theirs."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in added]
+    schema = T.StructType([*df.select(*kept).schema, *(T.StructField(name, kind) for name, (kind, _) in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = batch()
+        work = start()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], work(b.columns[-1])], names=[*b.schema.names[:-1], name])
+            for part in _slices(b):
+                found = [work(x) for x in part.columns[-1].to_pylist()]
+                new = [pa.array([x[i] for x in found], kind) for i, (_, kind) in enumerate(added.values())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=schema.names)
 
     return df.select(*kept, source.alias("__source")).mapInArrow(run, schema)
 
 
+IDS = T.ArrayType(T.IntegerType()), pa.list_(pa.int32())
+BYTES = T.BinaryType(), pa.binary()
+
+
 def encode(df: DataFrame, text_col: str, path: str, pattern: str, out: str = "ids") -> DataFrame:
     """Adds the token ids of each text as an array of integers."""
 
-    def batch():
+    def start():
         encoder = encoding(path, pattern)
-        return lambda column: pa.array((encode_text(encoder, x) for x in column.to_pylist()), pa.list_(pa.int32()))
+        return lambda text: (encode_text(encoder, text),)
 
-    return _add(df, out, T.ArrayType(T.IntegerType()), F.col(text_col), batch)
+    return _add(df, {out: IDS}, F.col(text_col), start)
 
 
 def decode(df: DataFrame, ids_col: str, path: str, pattern: str, out: str = "decoded") -> DataFrame:
     """Adds the raw bytes that the ids stand for; they need not be valid UTF-8."""
 
-    def batch():
+    def start():
         decoder = encoding(path, pattern)
-        return lambda column: pa.array((decoder.decode_bytes(x or []) for x in column.to_pylist()), pa.binary())
+        return lambda ids: (decoder.decode_bytes(ids or []),)
+
+    return _add(df, {out: BYTES}, F.col(ids_col), start)
+
+
+def round_trip(df: DataFrame, text_col: str, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode, then decode of its ids, in one pass of one Python worker."""
+
+    def start():
+        coder = encoding(path, pattern)
+
+        def both(text: str | None) -> tuple[list[int], bytes]:
+            found = encode_text(coder, text)
+            return found, coder.decode_bytes(found)
+
+        return both
 
-    return _add(df, out, T.BinaryType(), F.col(ids_col), batch)
+    return _add(df, {ids: IDS, decoded: BYTES}, F.col(text_col), start)
 
 
 def digest(ids: Column) -> Column:

@@ -16,8 +16,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", path, pattern).drop("text")
-    both = bpe.decode(ids, "ids", path, pattern)
+    both = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", path, pattern)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
