@@ -1,7 +1,7 @@
 """Small helpers that several operators share."""
 
-import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -9,21 +9,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names, which all executors share.
-
-    A folder of our own is set only where none is configured, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
+def work_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share; one of our own only where none is set, as in tests."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        kept = sc._jsc.sc().getCheckpointDir()
+        folder = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="umbral-work-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="umbral-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager)
+    return folder
 
 
-def as_list(column: pa.ChunkedArray | pa.Array) -> list:
-    return column.to_pylist()
+def durable(df: DataFrame, eager: bool = True) -> DataFrame:
+    """df with its lineage cut in the work folder."""
+    work_folder(df.sparkSession)
+    return df.checkpoint(eager)

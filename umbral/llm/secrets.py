@@ -132,13 +132,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     some, rest = docs.where(suspect), docs.where(~suspect)
     text = F.col(f"`{text_col}`")
     some = some.join(live, some[id_col].eqNullSafe(live["__id"]) & (F.xxhash64(text, F.length(text)) == live["__tag"]), "left")
-    for kind, (pattern, group) in KINDS.items():
-        hidden = lambda v: F.array_contains("__live", F.sha2(v.cast("binary"), 256))
+    hidden = lambda v: F.array_contains("__live", F.sha2(v.cast("binary"), 256))
+    for pattern, group in KINDS.values():
         whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-        shown = F.zip_with(whole, value, lambda w, v, hidden=hidden: F.when(hidden(v), F.concat(w.substr(F.lit(1), F.length(w) - F.length(v)), F.lit(MARK))).otherwise(w))
+        shown = F.zip_with(whole, value, lambda w, v: F.when(hidden(v), F.concat(w.substr(F.lit(1), F.length(w) - F.length(v)), F.lit(MARK))).otherwise(w))
         gaps = F.split(text, pattern, -1)
-        rebuilt = F.array_join(F.zip_with(gaps, F.concat(shown, F.array(F.lit(""))), F.concat), "")
+        rebuilt = F.array_join(F.zip_with(gaps, F.concat(shown, F.array(F.lit(""))), lambda g, m: F.concat(g, m)), "")
         some = some.withColumn(text_col, F.when(F.col("__live").isNull() | ~text.rlike(pattern), text).otherwise(rebuilt))
-        del kind
     return some.select(*[f"`{c}`" for c in docs.columns]).unionByName(rest)
