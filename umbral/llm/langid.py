@@ -31,7 +31,7 @@ BLOCK = 1 << 19
 #: Characters that an unseen one is taken to be one of.
 ALPHABET = 5_000
 #: Nats per character that a text may lie above the worst calibration text of its language.
-MARGIN = 0.75
+MARGIN = 1.25
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,6 +104,9 @@ class Models:
         self.names = sorted(names)
         self.grams: list = [None] * (ORDER + 1)
         self.backoff: list = [None] * ORDER
+        self.temperature, self.limit = 1.0, np.full(len(names), np.inf)
+        if not names:
+            return
         single = [self._fit([codes_of(t) for t in texts[name]]) for name in self.names]
         width = len(self.names)
         for n in range(1, ORDER + 1):
@@ -124,7 +127,6 @@ class Models:
             for k, s in enumerate(single):
                 value[np.searchsorted(union, s[n][0]), k] = s[n][3]
             self.grams[n] = Hashed(union, value)
-        self.temperature, self.limit = 1.0, np.full(width, np.inf)
 
     @staticmethod
     def _fit(codes: list[np.ndarray]) -> list:
