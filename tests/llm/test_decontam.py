@@ -61,6 +61,6 @@ def test_removal_leaves_the_rest_byte_for_byte(spark):
 
 
 def test_query_matches_sql(spark, sf, same_rows):
-    from umbral.llm.queries import ORACLES, QUERIES
+    from umbral.llm.queries import QUERIES, oracle_sql
 
-    same_rows(QUERIES["op1_decontaminate"](spark, sf), ORACLES["op1_decontaminate"])
+    same_rows(QUERIES["op1_decontaminate"](spark, sf), oracle_sql()["op1_decontaminate"])

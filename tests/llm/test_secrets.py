@@ -74,3 +74,9 @@ def test_query_against_python(spark, sf, documents):
         assert r.base_sha256 == hashlib.sha256(written(found).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[2] == k for x in found) for k in secrets.BASE)
         assert set(filter(None, written(found).split(","))) <= set(r.spans.split(","))
+
+
+def test_query_matches_sql(spark, sf, same_rows):
+    from umbral.llm.queries import QUERIES, oracle_sql
+
+    same_rows(QUERIES["op8_secrets"](spark, sf), oracle_sql()["op8_secrets"])

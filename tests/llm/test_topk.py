@@ -61,6 +61,6 @@ def test_empty(spark):
 
 
 def test_query_matches_sql(spark, sf, same_rows):
-    from umbral.llm.queries import ORACLES, QUERIES
+    from umbral.llm.queries import QUERIES, oracle_sql
 
-    same_rows(QUERIES["op10_topk"](spark, sf), ORACLES["op10_topk"])
+    same_rows(QUERIES["op10_topk"](spark, sf), oracle_sql()["op10_topk"])

@@ -63,3 +63,9 @@ def test_query(spark, sf):
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
     by_rule = {r: v for v, r in URL_RULES}
     assert all(r.verdict == by_rule[r.rule] for r in rows if r.rule)
+
+
+def test_query_matches_sql(spark, sf, same_rows):
+    from umbral.llm.queries import QUERIES, oracle_sql
+
+    same_rows(QUERIES["op5_urls"](spark, sf), oracle_sql()["op5_urls"])

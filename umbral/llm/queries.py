@@ -83,4 +83,13 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_language, op4_simhash, op5_urls, op6_licenses, op7_lm, op8_secrets, op9_html, op10_topk)}
-ORACLES = {"op1_decontaminate": oracles.DECONTAMINATE, "op10_topk": oracles.TOPK}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "op1_decontaminate": oracles.DECONTAMINATE,
+        "op5_urls": oracles.urls_sql(URL_RULES),
+        "op6_licenses": oracles.licenses_sql(),
+        "op8_secrets": oracles.secrets_sql(),
+        "op10_topk": oracles.TOPK,
+    }
