@@ -181,7 +181,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
     """For each row of docs: id_col, n_words, hit_spans (start and end words), n_hit, items (ids as strings, sorted)."""
     kind = docs.select(id_col).schema[0].dataType
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_words", T.LongType()), T.StructField("hit_spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("__tag", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hit_spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
+    tag = F.xxhash64(F.col(text_col), F.length(text_col))
     spans_of = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def over(automaton: SuffixAutomaton) -> DataFrame:
@@ -191,26 +192,26 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
             sam = shared.value
             for b in batches:
                 n, spans, items = [], [], []
-                for text in b.column(1):
+                for text in b.column(2):
                     words = words_of(text.as_py())
                     s, found = sam.stream(words)
                     n.append(len(words))
                     spans.append([{"start": x, "end": y} for x, y in s])
                     items.append(sorted(sam.names[i] for i in found))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans, spans_of), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(spans, spans_of), pa.array(items, pa.list_(pa.string()))], names=schema.names)
 
-        return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)
+        return docs.select(F.col(id_col), tag.alias("__tag"), F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)
 
     parts = [over(a) for a in automata(benchmark, item_id, item_text, window, block_words)]
     found = parts[0]
     if len(parts) > 1:
-        # Rows of one id and text differ in nothing that is returned, so the blocks meet on id and position.
-        raise_ids = [p.withColumn("__block", F.lit(i)) for i, p in enumerate(parts)]
-        both = raise_ids[0]
-        for p in raise_ids[1:]:
-            both = both.unionByName(p)
-        found = both.groupBy(id_col, "n_words").agg(F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(parts)).cast("long").alias("__n")).withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__n")
-        found = found.withColumn("hit_spans", merged(F.col("hit_spans"))).select(id_col, "n_words", "hit_spans", "items")
+        # Rows of one id and text differ in nothing that is returned: they meet, and part again.
+        for p in parts[1:]:
+            found = found.unionByName(p)
+        times = (F.count("*") / len(parts)).cast("long")
+        found = found.groupBy(id_col, "__tag", "n_words").agg(F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), times.alias("__times"))
+        found = found.withColumn("hit_spans", merged(F.col("hit_spans"))).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
+    found = found.select(id_col, "n_words", "hit_spans", "items")
     total = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return found.withColumn("n_hit", total)
 
