@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from umbral.functions.noise import TGeom, laplace
 from umbral.functions.sealing import seal, unseal
 from umbral.operators import catalog, grouping, htree, join, padding, privtree, select
-from umbral.plans.engine import EquiJoin, RangeSelect
+from umbral.plans.engine import EquiJoin, RangeSelect, TreeSelectJoin
 from umbral.sources import sinks, tables
 from umbral.streaming.replay import answered
 
@@ -87,6 +87,21 @@ def test_select_join_on_either_attribute(pair):
         assert rows(match) == rows(engine.exact(attribute, 1, 12).select("k1", "v1", "k2", "v2"))
 
 
+def test_select_join_over_trees(pair):
+    left, right = pair
+    engine = TreeSelectJoin(left, "k1", right, "k2", "v2")
+    exact = join.select_join(left, "k1", right, "k2", "v2", 1, 12)
+    slots = engine.slots(1, 12)
+    assert rows(join.matches(slots).select("k1", "v1", "k2", "v2")) == rows(exact.select("k1", "v1", "k2", "v2"))
+    assert slots.count() == join.padded_size(engine.pairs(1, 12)).first()[0]
+    assert engine.slots(12, 1).count() == 0
+
+
+def test_box(spark):
+    df = spark.createDataFrame([(1, 1), (1, 5), (7, 1), (None, 1)], "a int, b int")
+    assert rows(privtree.in_box(df, ["a", "b"], ((0, 3), (1, 2)))) == [(1, 1)]
+
+
 def test_compacted_join(pair):
     left, right = pair
     engine = EquiJoin(left, "k1", right, "k2")

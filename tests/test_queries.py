@@ -18,7 +18,7 @@ def test_entry_lists_all_queries(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["privtree_leaves", "privtree_leaves_2d"])
+@pytest.mark.parametrize("name", ["privtree_leaves", "privtree_leaves_2d", "tree_select_join"])
 def test_queries_without_sql_return_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..durable import durable
 from ..functions.budget import Budget
 from ..functions.noise import SEED, TGeom, laplace
-from .catalog import whole
+from .catalog import overlapping, whole
 
 #: Dimensions that a node may split at once.
 MAX_DIMENSIONS = 10
@@ -70,8 +70,14 @@ def halves(box: Box) -> list[Box]:
     return [tuple(b) for b in out]
 
 
-def _inside(box: Box, columns: list[str]):
-    return reduce(lambda a, b: a & b, [F.col(c).between(lo, hi) for c, (lo, hi) in zip(columns, box, strict=True)])
+def in_box(df: DataFrame, columns: list[str], box: Box) -> DataFrame:
+    """The rows inside a closed box."""
+    return df.where(reduce(lambda a, b: a & b, [whole(c).between(lo, hi) for c, (lo, hi) in zip(columns, box, strict=True)]))
+
+
+def touched(leaves: DataFrame, dimension: int, qs: int, qe: int) -> DataFrame:
+    """Leaves that a closed range of one dimension overlaps; none if qs > qe."""
+    return overlapping(leaves, qs, qe, f"lo_{dimension}", f"hi_{dimension}")
 
 
 def leaves(tables: list[tuple[DataFrame, list[str]]], plan: TreePlan, seed: int = SEED) -> DataFrame:

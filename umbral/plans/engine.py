@@ -109,3 +109,36 @@ class EquiJoin:
         noise = self.left.sparkSession.range(1).select(self.compaction().shifted("c", F.lit(0))).first()[0]
         keep = [c for c in slots.columns if c not in ("bin_id1", "bin_id2", "is_dummy1", "is_dummy2", "is_match")]
         return padding.compacted(join.matches(slots).select(*keep), self.sizes().first()[0], noise)
+
+
+@dataclass
+class TreeSelectJoin:
+    """Joins with a range on another attribute of the right table, over trees.
+
+    The left tree divides the key, the right tree the key and the attribute. A query takes the right
+    leaves that its range overlaps, and with each the left leaves that share key values.
+    """
+
+    left: DataFrame
+    left_key: str
+    right: DataFrame
+    right_key: str
+    attribute: str
+    budget: Budget = Budget()
+
+    def __post_init__(self) -> None:
+        n1, n2 = (df.dropna(subset=cols).count() for df, cols in ((self.left, [self.left_key]), (self.right, [self.right_key, self.attribute])))
+        self.left_leaves = privtree.leaves([(self.left, [self.left_key])], privtree.TreePlan(1, n1, budget=self.budget))
+        self.right_leaves = privtree.leaves([(self.right, [self.right_key, self.attribute])], privtree.TreePlan(2, n2, budget=self.budget))
+
+    def pairs(self, qs: int, qe: int) -> DataFrame:
+        """bin_id1, bin_id2, padded1, padded2 of the leaves that a query joins."""
+        one = lambda df: df.select("bin_id", F.col("lo_0").alias("lo"), F.col("hi_0").alias("hi"), F.col("padded1").alias("padded"))
+        return join.bin_pairs(one(self.left_leaves), one(privtree.touched(self.right_leaves, 1, qs, qe)))
+
+    def slots(self, qs: int, qe: int) -> DataFrame:
+        """A slot for each pair of padded rows of these leaves; a match where keys are equal and the range holds."""
+        extra = F.col("padded1") - F.col("real1")
+        a = padding.padded(privtree.placed(self.left, [self.left_key], self.left_leaves), self.left_leaves, extra)
+        b = padding.padded(privtree.placed(self.right, [self.right_key, self.attribute], self.right_leaves), self.right_leaves, extra)
+        return join.padded_slots(a, self.left_key, b, self.right_key, self.pairs(qs, qe), F.col(self.attribute).between(qs, qe))

@@ -251,6 +251,15 @@ def privtree_leaves_2d(spark, d):
     return privtree.leaves([(df, ["quantity", "l_suppkey"])], privtree.TreePlan(2, df.count(), kind="select"))
 
 
+def tree_select_join(spark, d):
+    """Slots of the select-join over trees, and the matches among them."""
+    from .engine import TreeSelectJoin
+
+    a, ak, b, bk = _nations(spark, d)
+    slots = TreeSelectJoin(a.select(ak), ak, b.select(bk, "c_custkey"), bk, "c_custkey").slots(*CUSTOMER_RANGE)
+    return slots.agg(F.count("*").alias("slots"), F.sum(F.col("is_match").cast("long")).alias("matches"))
+
+
 def sealed_roundtrip(spark, d):
     df = parquet(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
     key = F.lit("0123456789abcdef")  # for the query only; callers pass their own
@@ -269,6 +278,6 @@ QUERIES = {
         range_select_lineitem_quantity, range_select_workload, select_join_on_key, select_join_on_attr, key_domain, dense_histogram, hierarchy_levels, constrained_inference, best_range_cover,
         key_multiplicity_list, htree_buckets_shared, htree_buckets_per_table, bins_overlapping_query, bins_missed_by_query, response_blowup, padded_bucket_sizes, padded_range_select,
         bucket_pair_overlap, padded_join_sizes, padded_join_slots, padded_pk_fk_join, join_compaction_size, compacted_join, dense_sparse_grouping, dense_sparse_bins, grouped_join_size,
-        privtree_leaves, privtree_leaves_2d, sealed_roundtrip, noise_tgeom,
+        privtree_leaves, privtree_leaves_2d, tree_select_join, sealed_roundtrip, noise_tgeom,
     )
 }
