@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from umbral import durable
 from umbral.functions.noise import TGeom, laplace
 from umbral.functions.sealing import seal, unseal
 from umbral.operators import catalog, grouping, htree, join, padding, privtree, select
@@ -149,6 +150,12 @@ def test_next_fit_respects_capacity():
     assert all(max(c) <= 10 for c in bins.values())
 
 
+def test_rows_that_come_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(durable, "CHUNK", 3)
+    for n in (0, 2, 3, 7):
+        assert rows(durable.streamed(spark, ((i, str(i)) for i in range(n)), "a long, b string")) == [(i, str(i)) for i in range(n)]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "t.txt").write_text("3 2\n\n5 1\n7 2.9\n-4 3\n")
     assert rows(tables.synthetic(spark, str(tmp_path / "t.txt"))) == [(-4, 3, 2), (5, 1, 0), (7, 2, 1)]

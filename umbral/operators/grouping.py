@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import durable, streamed
 from ..functions.budget import Budget
 from ..functions.noise import TGeom
 from .catalog import key_list
@@ -63,17 +64,22 @@ def members(left: DataFrame, left_key: str, right: DataFrame, right_key: str, pl
     keys = key_list(left, left_key, right, right_key, plan.key_noise)
     total1, total2 = F.col("count1") + F.col("noise1"), F.col("count2") + F.col("noise2")
     keys = keys.withColumn("kind", F.when((total1 > 2 * plan.unit) | (total2 > 2 * plan.unit), "dense").otherwise("sparse"))
+    keys = durable(keys)  # read three times below
     order = [total1.desc(), total2.desc(), F.col("key")]
-    spark = left.sparkSession
 
-    def numbered(rows: list[tuple[int, int]]) -> DataFrame:
-        return spark.createDataFrame(rows, "key long, bin_id long")
+    # The walk reads the keys in order, dense ones first, and writes their bins as it goes.
+    def walk(kind: str) -> Iterator[tuple]:
+        return map(tuple, keys.where(F.col("kind") == kind).orderBy(*order).select("key", "count1", "count2").toLocalIterator())
 
-    # One row per dense key: there are at most rows / unit of them.
-    dense = [r[0] for r in keys.where("kind = 'dense'").orderBy(*order).select("key").toLocalIterator()]
-    sparse = keys.where("kind = 'sparse'").orderBy(*order).select("key", "count1", "count2").toLocalIterator()
-    bins = [(k, i) for i, k in enumerate(dense)] + [(k, len(dense) + b) for k, b in next_fit(map(tuple, sparse), plan.capacity)]
-    return keys.join(numbered(bins), "key")
+    def numbered() -> Iterator[tuple[int, int]]:
+        first = 0
+        for key, *_ in walk("dense"):
+            yield key, first
+            first += 1
+        for key, b in next_fit(walk("sparse"), plan.capacity):
+            yield key, first + b
+
+    return keys.join(streamed(left.sparkSession, numbered(), "key long, bin_id long"), "key")
 
 
 def bins(members: DataFrame, plan: GroupingPlan, tag: str = "e") -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from ..durable import durable, streamed
 from ..functions.budget import HistogramPlan
 from .catalog import dense_histogram, inferred, multiplicities
 
@@ -43,21 +43,21 @@ def walk(rows: Iterable[Row], target: int, use: tuple[bool, bool] = (True, True)
         yield start, node, real1, real2
 
 
-def _walked(histogram: DataFrame, plan: HistogramPlan, constant: float, sides: list[tuple[bool, bool]]) -> list[list[tuple]]:
+def _walked(histogram: DataFrame, plan: HistogramPlan, constant: float, sides: list[tuple[bool, bool]]) -> list[Iterator[Row]]:
     if plan.domain > MAX_DOMAIN:
         raise ValueError(f"a domain of {plan.domain} values is too wide for the histogram; coarsen the key to at most {MAX_DOMAIN}")
     histogram = durable(histogram)
     t1, t2 = histogram.agg(F.coalesce(F.sum(F.col("r1") + F.col("e1")), F.lit(0)), F.coalesce(F.sum(F.col("r2") + F.col("e2")), F.lit(0))).first()
     parts = plan.parts(t1 + t2, constant)
     ordered = histogram.select("node", "r1", "e1", "r2", "e2").orderBy("node")
-    return [list(walk(ordered.toLocalIterator(), math.ceil((t1 * use[0] + t2 * use[1]) / parts), use)) for use in sides]
+    return [walk(ordered.toLocalIterator(), math.ceil((t1 * use[0] + t2 * use[1]) / parts), use) for use in sides]
 
 
 def shared_buckets(left: DataFrame, left_key: str, right: DataFrame, right_key: str, plan: HistogramPlan, constant: float = 1.0) -> DataFrame:
     """bin_id, lo, hi, real1, padded1, real2, padded2: one list of boundaries for both tables."""
     (found,) = _walked(joint_histogram(left, left_key, right, right_key, plan), plan, constant, [(True, True)])
-    rows = [(i, plan.lo + a, plan.lo + b, x, y) for i, (a, b, x, y) in enumerate(found)]
-    buckets = left.sparkSession.createDataFrame(rows, "bin_id long, lo long, hi long, real1 long, real2 long")
+    rows = ((i, plan.lo + a, plan.lo + b, x, y) for i, (a, b, x, y) in enumerate(found))
+    buckets = streamed(left.sparkSession, rows, "bin_id long, lo long, hi long, real1 long, real2 long")
     noise = plan.bucket_noise
     return buckets.select("bin_id", "lo", "hi", "real1", (F.col("real1") + noise.shifted("b1", F.col("bin_id"))).alias("padded1"), "real2", (F.col("real2") + noise.shifted("b2", F.col("bin_id"))).alias("padded2"))
 
@@ -65,8 +65,8 @@ def shared_buckets(left: DataFrame, left_key: str, right: DataFrame, right_key:
 def own_buckets(left: DataFrame, left_key: str, right: DataFrame, right_key: str, plan: HistogramPlan, constant: float = 1.0) -> DataFrame:
     """table_id, bin_id, lo, hi, real, padded: boundaries of each table's own."""
     found = _walked(joint_histogram(left, left_key, right, right_key, plan), plan, constant, [(True, False), (False, True)])
-    rows = [(t + 1, i, plan.lo + b[0], plan.lo + b[1], b[2 + t]) for t in (0, 1) for i, b in enumerate(found[t])]
-    buckets = left.sparkSession.createDataFrame(rows, "table_id long, bin_id long, lo long, hi long, real long")
+    rows = ((t + 1, i, plan.lo + b[0], plan.lo + b[1], b[2 + t]) for t in (0, 1) for i, b in enumerate(found[t]))
+    buckets = streamed(left.sparkSession, rows, "table_id long, bin_id long, lo long, hi long, real long")
     return buckets.withColumn("padded", F.col("real") + plan.bucket_noise.shifted("o", F.col("table_id"), F.col("bin_id")))
 
 
@@ -75,8 +75,8 @@ def single_buckets(df: DataFrame, key: str, plan: HistogramPlan, constant: float
     leaves = inferred(dense_histogram(df, key, plan, "h1_"), plan, "h1_").where("level = 0")
     histogram = leaves.select("node", F.col("real").alias("r1"), F.col("noise").alias("e1"), F.lit(0).cast("long").alias("r2"), F.lit(0).cast("long").alias("e2"))
     (found,) = _walked(histogram, plan, constant, [(True, False)])
-    rows = [(i, plan.lo + a, plan.lo + b, x) for i, (a, b, x, _) in enumerate(found)]
-    buckets = df.sparkSession.createDataFrame(rows, "bin_id long, lo long, hi long, real long")
+    rows = ((i, plan.lo + a, plan.lo + b, x) for i, (a, b, x, _) in enumerate(found))
+    buckets = streamed(df.sparkSession, rows, "bin_id long, lo long, hi long, real long")
     return buckets.withColumn("padded", F.col("real") + plan.bucket_noise.shifted("b1", F.col("bin_id")))
 
 

@@ -7,9 +7,6 @@ are in no bin.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bins up to which the catalog is sent to all executors; wider catalogs are joined by value.
-BROADCAST_BINS = 100_000
-
 
 def by_value(bins: DataFrame) -> DataFrame:
     """key, bin_id for every value that a bin covers."""
