@@ -12,11 +12,14 @@ counts are sums over partial aggregates, so neither a hot source nor a value tha
 task; only the spans of one document are gathered together.
 """
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, work_folder
 
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -123,15 +126,24 @@ def base_only(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """docs with MARK in the place of each live value. Texts without candidates pass as they are and are not shuffled."""
-    placed = spans(candidates(docs, id_col, text_col, repo_col, owner_col))
-    live = judged(placed, max_owners).where("live").groupBy("id", "tag").agg(F.collect_set("value_hash").alias("__live"))
-    live = live.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), "__live")
-    any_kind = "|".join(f"(?:{p})" for p, _ in KINDS.values())
-    suspect = F.coalesce(F.col(f"`{text_col}`").rlike(any_kind), F.lit(False))
-    some, rest = docs.where(suspect), docs.where(~suspect)
+    """docs with MARK in the place of each live value.
+
+    One pass looks for candidates and writes the rows to the work folder, those with candidates apart. Only
+    these few are counted, joined with the verdicts and rewritten; all others pass as they are.
+    """
     text = F.col(f"`{text_col}`")
-    some = some.join(live, some[id_col].eqNullSafe(live["__id"]) & (F.xxhash64(text, F.length(text)) == live["__tag"]), "left")
+    seen = docs.select("*", *[matches(F.coalesce(text, F.lit("")), k).alias(f"__{k}") for k in KINDS])
+    staged = seen.withColumn("__some", reduce(lambda a, b: a | b, [F.size(f"__{k}") > 0 for k in KINDS]).cast("int"))
+    folder = f"{work_folder(docs.sparkSession)}/secrets-{uuid.uuid4().hex}"
+    staged.write.partitionBy("__some").parquet(folder)
+    staged = docs.sparkSession.read.schema(staged.schema).parquet(folder)
+    some, rest = staged.where("__some = 1"), staged.where("__some = 0")
+
+    tag = F.xxhash64(text, F.length(text))
+    found = some.select(F.col(f"`{id_col}`").alias("id"), tag.alias("tag"), F.col(f"`{repo_col}`").cast("string").alias("repo"), F.col(f"`{owner_col}`").cast("string").alias("owner"), *[F.col(f"__{k}").alias(k) for k in KINDS])
+    live = judged(spans(found), max_owners).where("live").groupBy("id", "tag").agg(F.collect_set("value_hash").alias("__live"))
+    live = live.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), "__live")
+    some = some.join(live, some[id_col].eqNullSafe(live["__id"]) & (tag == live["__tag"]), "left")
     hidden = lambda v: F.array_contains("__live", F.sha2(v.cast("binary"), 256))
     for pattern, group in KINDS.values():
         whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -140,4 +152,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
         gaps = F.split(text, pattern, -1)
         rebuilt = F.array_join(F.zip_with(gaps, F.concat(shown, F.array(F.lit(""))), lambda g, m: F.concat(g, m)), "")
         some = some.withColumn(text_col, F.when(F.col("__live").isNull() | ~text.rlike(pattern), text).otherwise(rebuilt))
-    return some.select(*[f"`{c}`" for c in docs.columns]).unionByName(rest)
+    kept = [f"`{c}`" for c in docs.columns]
+    return some.select(*kept).unionByName(rest.select(*kept))
