@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 ORDER = 5
 #: The bounds of the sample that the classifier is fitted on.
-MAX_ROWS, MAX_CHARS = 400, 20_000
+MAX_ROWS, MAX_CHARS = 300, 20_000
 #: Characters that are scored at once.
 BLOCK = 1 << 19
 #: Characters that an unseen one is taken to be one of.
@@ -51,10 +51,10 @@ def has_letter(text: str) -> bool:
     return bool(re.search("[A-Za-z]", text)) or any(map(str.isalpha, text))
 
 
-def rolling(codes: np.ndarray) -> list[np.ndarray]:
+def rolling(codes: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
     """[n][i]: the hash of the n characters that end at i; the first n - 1 places are of no use."""
     out, power = [np.zeros(len(codes), np.uint64)], 1
-    for n in range(1, ORDER + 1):
+    for n in range(1, order + 1):
         h = out[-1].copy()
         h[n - 1 :] += (codes[: len(codes) - n + 1] + np.uint64(1)) * np.uint64(power)
         out.append(h)
@@ -132,17 +132,17 @@ class Models:
     def _fit(codes: list[np.ndarray]) -> list:
         """[n]: hashes of seen n-grams, their suffixes and contexts, log p, (contexts, log weight), floor."""
         seen: list = [None] * (ORDER + 1)
-        rows: list[list] = [[] for _ in range(ORDER + 1)]
-        for c in codes:
-            h = rolling(c)
-            for n in range(1, ORDER + 1):
-                at = slice(ORDER - 1, len(c))
-                before = slice(ORDER - 2, len(c) - 1)
-                rows[n].append(np.column_stack([h[n][at], h[n - 1][at], h[n - 1][before]]))
-        for n in range(1, ORDER + 1):
-            table = np.concatenate(rows[n]) if rows[n] else np.zeros((0, 3), np.uint64)
-            _, first, count = np.unique(table[:, 0], return_index=True, return_counts=True)
-            seen[n] = table[first], count
+        for n in range(1, ORDER + 1):  # one length at a time, so that the driver holds little
+            gram, suffix, context = [], [], []
+            for c in codes:
+                h = rolling(c, n)
+                gram.append(h[n][ORDER - 1 :])
+                suffix.append(h[n - 1][ORDER - 1 :])
+                context.append(h[n - 1][ORDER - 2 : len(c) - 1])
+            gram = np.concatenate(gram) if gram else np.zeros(0, np.uint64)
+            _, first, count = np.unique(gram, return_index=True, return_counts=True)
+            pick = lambda parts, first=first: (np.concatenate(parts) if parts else np.zeros(0, np.uint64))[first]
+            seen[n] = np.column_stack([gram[first], pick(suffix), pick(context)]), count
         out: list = [None] * (ORDER + 1)
         lower: tuple[np.ndarray, np.ndarray] | None = None
         for n in range(1, ORDER + 1):
