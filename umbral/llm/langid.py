@@ -31,7 +31,9 @@ BLOCK = 1 << 19
 #: Characters that an unseen one is taken to be one of.
 ALPHABET = 5_000
 #: Nats per character that a text may lie above the worst calibration text of its language.
-MARGIN = 1.25
+MARGIN = 1.75
+#: Nats that a text may cost beyond that whatever its length, so that a few odd words are no reason.
+SHORT = 15.0
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -252,7 +254,7 @@ class Models:
             for j, i in enumerate(group):
                 k = int(best[j])
                 loss = -float(mean[j, k])
-                out[i] = self.names[k], float(p[j]), loss, loss > self.limit[k]
+                out[i] = self.names[k], float(p[j]), loss, bool(loss > self.limit[k] + SHORT / n[j])
         return out
 
 
