@@ -40,9 +40,9 @@ def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
     pages = spark.createDataFrame([(1, "http://h1.site.net/a"), (2, "http://g1.spam.com/a"), (3, "http://new.spam.com/a"), (4, "http://once.site.net/"), (5, "http://new.site.net/"), (6, None), (2, "http://g1.spam.com/a")], "page_id int, url string")
     got = sorted((r.page_id, r.verdict) for r in urls.judge(pages, known, []).collect())
     assert got == [(1, "allow"), (2, "block"), (2, "block"), (3, "block"), (4, "allow"), (5, "allow"), (6, "allow")]
-    level = {(r.level, r.name): r.a / (r.a + r.b) for r in urls.reputations(known).collect()}
-    assert level["host", "once.site.net"] < 0.5 and level["host", "g1.spam.com"] > 0.9
-    assert level["domain", "site.net"] < level["host", "once.site.net"]
+    rate = {r.host: r.a / (r.a + r.b) for r in urls.reputations(known.unionByName(spark.createDataFrame([("new.site.net", None)], "host string, bad int"))).collect()}
+    assert rate["once.site.net"] < 0.5 and rate["g1.spam.com"] > 0.9
+    assert rate["h1.site.net"] < rate["new.site.net"] < rate["once.site.net"]
 
 
 def test_no_labels_and_no_pages(spark):
@@ -50,7 +50,8 @@ def test_no_labels_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id int, url string")
     assert [r.verdict for r in urls.judge(pages, none, []).collect()] == ["allow"]
     assert urls.judge(pages.limit(0), none, URL_RULES).count() == 0
-    assert urls.reputations(spark.createDataFrame([("a.com", None)], "host string, bad int")).where("level = 'host'").count() == 0
+    (row,) = urls.reputations(spark.createDataFrame([("a.com", None)], "host string, bad int")).collect()
+    assert (row.n, row.a) == (0, row.b)
 
 
 def test_domains(spark):

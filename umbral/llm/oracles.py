@@ -88,29 +88,25 @@ def urls_sql(rules: list[tuple[str, str]]) -> str:
     def level(name: str, groups: str, above: str) -> str:
         """CTEs: groups with their parent's mean, the prior strength, and the posterior."""
         within, expected = "sum(mean * (1 - mean))", "sum(mean * (1 - mean) * (n - 1))"
-        rho = f"CASE WHEN {expected} > 0 THEN (sum(n * (x / n - mean) * (x / n - mean)) - {within}) / {expected} ELSE {u.MOST_RHO} END"
+        rho = f"CASE WHEN {expected} <> 0 THEN (sum(n * (x / n - mean) * (x / n - mean)) - {within}) / {expected} ELSE {u.MOST_RHO} END"
         return f"""{name}_rows AS (SELECT g.*, p.mean FROM ({groups}) AS g JOIN {above}),
-{name}_k AS (SELECT coalesce(1 / least(greatest(coalesce({rho}, {u.MOST_RHO}), {u.LEAST_RHO}), {u.MOST_RHO}) - 1, 1.0) AS k FROM {name}_rows),
+{name}_k AS (SELECT 1 / least(greatest({rho}, {u.LEAST_RHO}), {u.MOST_RHO}) - 1 AS k FROM {name}_rows WHERE n > 0),
 {name}_post AS (SELECT {name} AS name, mean * k + x AS a, (1 - mean) * k + n - x AS b FROM {name}_rows, {name}_k)"""
 
-    def bad(a: str = "a", b: str = "b") -> str:
-        return f"{a} / ({a} + {b}) - {u.Z} * sqrt({a} * {b} / (({a} + {b}) * ({a} + {b}) * ({a} + {b} + 1))) > {u.THRESHOLD}"
-
     return f"""
 WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 judged AS (SELECT doc_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1.0 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0.0 END AS bad FROM labels),
 outcomes AS (
-  SELECT host, bad FROM (SELECT host, TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.[a-z]+)?/?$', 1), '') AS BIGINT) AS doc_id FROM p) JOIN judged USING (doc_id) WHERE bad IS NOT NULL),
-hosts AS (SELECT host, CAST(sum(bad) AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n, {names('host')} FROM outcomes GROUP BY host),
-all_post AS (SELECT coalesce(sum(x), 0) + 1 AS a, coalesce(sum(n), 0) - coalesce(sum(x), 0) + 1 AS b FROM hosts),
-{level('suffix', 'SELECT suffix, sum(x) AS x, sum(n) AS n FROM hosts GROUP BY suffix', '(SELECT a / (a + b) AS mean FROM all_post) AS p ON TRUE')},
+  SELECT host, bad FROM (SELECT host, TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.[a-z]+)?/?$', 1), '') AS BIGINT) AS doc_id FROM p) JOIN judged USING (doc_id)
+  UNION ALL SELECT host, NULL FROM p),
+hosts AS (SELECT host, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS x, CAST(count(bad) AS DOUBLE) AS n, {names('host')} FROM outcomes GROUP BY host),
+{level('suffix', 'SELECT suffix, sum(x) AS x, sum(n) AS n FROM hosts GROUP BY suffix', '(SELECT (sum(x) + 1) / (sum(n) + 2) AS mean FROM hosts) AS p ON TRUE')},
 {level('domain', 'SELECT suffix, domain, sum(x) AS x, sum(n) AS n FROM hosts GROUP BY suffix, domain', '(SELECT name, a / (a + b) AS mean FROM suffix_post) AS p ON p.name = g.suffix')},
-{level('host', 'SELECT * FROM hosts', '(SELECT name, a / (a + b) AS mean FROM domain_post) AS p ON p.name = g.domain')},
-seen AS (SELECT *, {names('host')} FROM p)
+{level('host', 'SELECT * FROM hosts', '(SELECT name, a / (a + b) AS mean FROM domain_post) AS p ON p.name = g.domain')}
 SELECT page_id, host, path, CASE {' '.join(fits)} END AS rule,
-  coalesce(CASE {' '.join(verdicts)} END, CASE WHEN coalesce({bad('h.a', 'h.b')}, {bad('d.a', 'd.b')}, {bad('s.a', 's.b')}, {bad('t.a', 't.b')}) THEN 'block' ELSE 'allow' END) AS verdict
-FROM seen LEFT JOIN host_post AS h ON h.name = host LEFT JOIN domain_post AS d ON d.name = domain LEFT JOIN suffix_post AS s ON s.name = suffix, all_post AS t
+  coalesce(CASE {' '.join(verdicts)} END, CASE WHEN a / (a + b) - {u.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {u.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN host_post ON name = host
 """
 
 

@@ -3,8 +3,8 @@
 Labelled page outcomes are summed by host, registered domain and suffix. Each level is shrunk
 towards the one above through a beta-binomial prior: its mean is the parent's posterior mean, and its
 strength is estimated from the overdispersion between the level's groups. A host is blocked when
-the lower posterior bound of its rate of bad pages exceeds the threshold; hosts without labels have the
-posterior of their domain, suffix or of all pages.
+the lower posterior bound of its rate of bad pages exceeds the threshold; a host without labels has the
+prior that its domain gives it.
 
 A null url, or one without `://`, has an empty host and path; it fits no rule and gets the verdict of
 an unlabelled host. Repeated pages each count and each get a row. With no labels at all every page has
@@ -12,8 +12,6 @@ the uniform prior, whose lower bound blocks nothing. Only sums per host are join
 host; a host that holds most pages is split by the adaptive skew join.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +26,8 @@ Z, THRESHOLD = 1.0, 0.4
 LEAST_RHO, MOST_RHO = 0.001, 0.5
 #: Longer rule lists are joined instead of inlined.
 INLINE_RULES = 64
+#: Hosts that one task takes when levels are summed.
+HOSTS = 100_000
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -74,35 +74,32 @@ def with_rules(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return pages.join(best, ["host", "path"], "left").withColumns({"rule": F.col("best.rule"), "rule_verdict": F.col("best.verdict")}).drop("best")
 
 
-def strength(groups: DataFrame) -> Column:
-    """Prior strength from groups of x bad of n pages, each with its parent's mean: one aggregate."""
-    p = F.col("x") / F.col("n")
-    m = F.col("mean")
-    within = F.sum(m * (1 - m))
-    spread = F.sum(F.col("n") * (p - m) * (p - m))
-    expected = F.sum(m * (1 - m) * (F.col("n") - 1))
-    rho = F.when(expected > 0, (spread - within) / expected).otherwise(F.lit(MOST_RHO))
-    return 1 / F.least(F.greatest(F.coalesce(rho, F.lit(MOST_RHO)), F.lit(LEAST_RHO)), F.lit(MOST_RHO)) - 1
+def strength(groups: DataFrame) -> float:
+    """Prior strength from groups of x bad of n pages, each with its parent's mean: one row comes back."""
+    p, n, m = F.col("x") / F.col("n"), F.col("n"), F.col("mean")
+    within, expected, spread = groups.where("n > 0").agg(F.sum(m * (1 - m)), F.sum(m * (1 - m) * (n - 1)), F.sum(n * (p - m) * (p - m))).first()
+    rho = (spread - within) / expected if expected else MOST_RHO
+    return 1 / min(max(rho, LEAST_RHO), MOST_RHO) - 1
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
-    """host, a, b of the posterior beta distribution from outcomes (host, bad 0/1); and rows of kind domain, suffix and all for what has no labels."""
+    """host, x, n, a, b for every host of outcomes (host, bad 0, 1 or null): bad and labelled pages, and the posterior beta distribution."""
     domain, suffix = domain_of(F.col("host"))
-    x, n = F.sum(F.col("bad").cast("double")).alias("x"), F.count("bad").cast("double").alias("n")
-    hosts = durable(outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(x, n).withColumns({"domain": domain, "suffix": suffix}))
+    x, n = F.coalesce(F.sum(F.col("bad").cast("double")), F.lit(0.0)).alias("x"), F.count("bad").cast("double").alias("n")
+    hosts = durable(outcomes.groupBy("host").agg(x, n))
+    # Few hosts need few tasks: what follows is then done in one, without a shuffle.
+    hosts = hosts.coalesce(max(1, -(-hosts.count() // HOSTS))).withColumns({"domain": domain, "suffix": suffix})
     add = (F.sum("x").alias("x"), F.sum("n").alias("n"))
+    bad, seen = hosts.agg(*add).first()
     # The uniform prior above all.
-    everything = hosts.agg(*(F.coalesce(c, F.lit(0.0)).alias(name) for c, name in zip((F.sum("x"), F.sum("n")), "xn", strict=True))).select((F.col("x") + 1).alias("a"), (F.col("n") - F.col("x") + 1).alias("b"))
-    levels = []
-    parent = everything.select((F.col("a") / (F.col("a") + F.col("b"))).alias("mean"))
-    for level, above, groups in (("suffix", None, hosts.groupBy("suffix").agg(*add)), ("domain", "suffix", hosts.groupBy("suffix", "domain").agg(*add)), ("host", "domain", hosts)):
-        rows = groups.join(parent, above) if above else groups.crossJoin(parent)  # one row
-        k = rows.agg(F.coalesce(strength(rows), F.lit(1.0)).alias("k"))
-        post = rows.crossJoin(k).withColumns({"a": F.col("mean") * F.col("k") + F.col("x"), "b": (1 - F.col("mean")) * F.col("k") + F.col("n") - F.col("x")})
-        levels.append(post.select(F.lit(level).alias("level"), F.col(level).alias("name"), "a", "b"))
-        parent = post.select(F.col(level), (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"))
-    levels.append(everything.select(F.lit("all").alias("level"), F.lit("").alias("name"), "a", "b"))
-    return reduce(DataFrame.unionByName, levels)
+    mean = ((bad or 0.0) + 1) / ((seen or 0.0) + 2)
+    rows = hosts.groupBy("suffix").agg(*add).withColumn("mean", F.lit(mean))
+    for level, groups in (("suffix", hosts.groupBy("suffix", "domain").agg(*add)), ("domain", hosts)):
+        k = F.lit(strength(rows))
+        above = rows.select(level, ((F.col("mean") * k + F.col("x")) / (k + F.col("n"))).alias("mean"))
+        rows = groups.join(above, level)
+    k = F.lit(strength(rows))
+    return rows.select("host", "x", "n", (F.col("mean") * k + F.col("x")).alias("a"), ((1 - F.col("mean")) * k + F.col("n") - F.col("x")).alias("b"))
 
 
 def lower_bound(a: Column, b: Column, z: float) -> Column:
@@ -111,13 +108,8 @@ def lower_bound(a: Column, b: Column, z: float) -> Column:
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", z: float = Z, threshold: float = THRESHOLD) -> DataFrame:
     """id_col, host, path, rule, verdict (allow or block)."""
-    known = durable(reputations(outcomes).withColumn("bad", lower_bound(F.col("a"), F.col("b"), z) > threshold))
-    of = {level: known.where(F.col("level") == level).select(F.col("name").alias(level), F.col("bad").alias(f"bad_{level}")) for level in ("host", "domain", "suffix")}
-    domain, suffix = domain_of(F.col("host"))
-    hosts = parsed(pages, id_col, url_col).select("host").distinct().withColumns({"domain": domain, "suffix": suffix})
-    for level, rows in of.items():
-        hosts = hosts.join(rows, level, "left")
-    hosts = hosts.crossJoin(known.where("level = 'all'").select(F.col("bad").alias("bad_all")))  # one row
-    verdict = F.when(F.coalesce("bad_host", "bad_domain", "bad_suffix", "bad_all"), "block").otherwise("allow")
-    seen = with_rules(parsed(pages, id_col, url_col), rules)
-    return seen.join(hosts.select("host", verdict.alias("method")), "host").select(id_col, "host", "path", "rule", F.coalesce("rule_verdict", "method").alias("verdict"))
+    seen = parsed(pages, id_col, url_col)
+    known = reputations(outcomes.select("host", "bad").unionByName(seen.select("host", F.lit(None).cast("int").alias("bad"))))
+    method = F.when(lower_bound(F.col("a"), F.col("b"), z) > threshold, "block").otherwise("allow")
+    ruled = with_rules(seen, rules)
+    return ruled.join(known.select("host", method.alias("method")), "host").select(id_col, "host", "path", "rule", F.coalesce("rule_verdict", "method").alias("verdict"))
