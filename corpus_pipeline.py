@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbral.llm import bpe, decontam, langid, secrets, simhash
+from umbral.llm import bpe, decontam, langid, secrets, similar
 from umbral.llm.common import table, work_folder
 from umbral.llm.queries import learns
 
@@ -28,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of documents linked by a similarity of 0.8 or more of five-word runs that of the smallest id stays."""
+    return similar.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
