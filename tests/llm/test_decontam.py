@@ -60,6 +60,21 @@ def test_removal_leaves_the_rest_byte_for_byte(spark):
     assert row.text == f"Kéep this — and\n !, then more of it, " + "x " * 30
 
 
+def test_removal_in_blocks_gives_what_one_automaton_gives(spark):
+    one, two = ([f"{c}{i}" for i in range(12)] for c in "ab")
+    rest = [f"r{i}" for i in range(16)]
+    overlapping = [*one, *two[:6]]
+    items = frame(spark, [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(overlapping[6:])), (4, "r0 r2 " * 6)], "item_id long, text string")
+    texts = [" ".join(t) for t in ([*rest, *one, "between", *two], [*one, *rest], [*rest, *rest, *overlapping], ["r2", "r0", *one, "r2", *["r0", "r2"] * 3, *rest, *rest])]
+    docs = frame(spark, [*enumerate([*texts, *random_texts(4, 30, 30), None, ""])])
+    key = lambda df: sorted((r.doc_id, r.text or "") for r in df.collect())
+    want = key(decontam.remove(docs, items))
+    assert 0 not in dict(want) and dict(want)[2].split() == [*rest, *rest] and dict(want)[3].split()[:4] == ["r2", "r0", "r2", "r0"]
+    assert key(decontam.remove(docs, items, block_words=12)) == want
+    small = frame(spark, list(enumerate(random_texts(1, 12, 9))), "item_id long, text string")
+    assert key(decontam.remove(docs, small, window=3, block_words=20)) == key(decontam.remove(docs, small, window=3))
+
+
 def test_query_matches_sql(spark, sf, same_rows):
     from umbral.llm.queries import QUERIES, oracle_sql
 

@@ -232,15 +232,11 @@ def digest(items) -> object:
     return F.sha2(F.array_join(items, ",").cast("binary"), 256)
 
 
-def clean_text(text: bytes | None, sam: SuffixAutomaton) -> tuple[bytes | None, int, int]:
-    """The text without its hit words (and what stands between words of one span), words, hit words."""
-    words = words_of(text)
-    spans, _ = sam.stream(words)
-    if not spans:
-        return text, len(words), 0
+def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of the spans (and what stands between words of one span)."""
     folded = text.translate(FOLD)
     at, offsets = 0, []
-    for w in words:
+    for w in words_of(text):
         at = folded.index(w, at)
         offsets.append((at, at + len(w)))
         at += len(w)
@@ -249,33 +245,49 @@ def clean_text(text: bytes | None, sam: SuffixAutomaton) -> tuple[bytes | None,
         out.append(text[begin : offsets[a][0]])
         begin = offsets[b - 1][1]
     out.append(text[begin:])
-    return b"".join(out), len(words), sum(b - a for a, b in spans)
+    return b"".join(out)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs without the spans that benchmark items share with them; a document of which a block's hits cover more than max_coverage goes as a whole.
+    """docs without the spans that benchmark items share with them; a document of which the hits of all items cover more than max_coverage goes as a whole.
 
-    All columns stay. Untouched texts stay as they are, byte for byte.
+    Every block streams over the original text. What it hits is merged with what blocks before it hit; after the last one,
+    coverage is judged and the spans are cut out. All columns stay. Untouched texts stay as they are, byte for byte.
     """
     order = docs.columns
+    rest = [F.col(f"`{c}`") for c in order if c != text_col]
+    spans_of = pa.list_(pa.int64())
+    # Start, end, start, end, ... of the hit spans so far, in the last column.
+    docs = docs.select(*rest, F.col(text_col).cast("binary").alias(text_col), F.array().cast("array<long>").alias("__spans"))
+    raw, text_at = docs.schema, len(order) - 1
     for automaton in automata(benchmark, item_id, item_text, window, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
-        rest = [F.col(f"`{c}`") for c in order if c != text_col]
-        schema = docs.select(*rest, text_col).schema
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sam = shared.value
             for b in batches:
-                texts, keep = [], []
-                for x in b.columns[-1]:
-                    text, n, hit = clean_text(x.as_py(), sam)
-                    texts.append(text)
-                    keep.append(not hit or hit <= max_coverage * n)
-                names = [*b.schema.names[:-1], text_col]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary()).cast(pa.string())], names=names).filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.select(*rest, F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, schema).select(*[f"`{c}`" for c in order])
-    return docs
+                hit = []
+                for x, before in zip(b.columns[text_at], b.columns[text_at + 1].to_pylist(), strict=True):
+                    spans: list[tuple[int, int]] = []
+                    for s in sorted([*zip(before[::2], before[1::2], strict=True), *sam.stream(words_of(x.as_py()))[0]]):
+                        _mark(spans, *s)
+                    hit.append([end for s in spans for end in s])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hit, spans_of)], names=b.schema.names)
+
+        docs = docs.mapInArrow(run, raw)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, keep = [], []
+            for x, hit in zip(b.columns[text_at], b.columns[text_at + 1].to_pylist(), strict=True):
+                text = x.as_py()
+                spans = list(zip(hit[::2], hit[1::2], strict=True))
+                keep.append(not spans or sum(e - a for a, e in spans) <= max_coverage * len(words_of(text)))
+                texts.append(cut(text, spans) if spans and keep[-1] else text)
+            yield pa.RecordBatch.from_arrays([*b.columns[:text_at], pa.array(texts, pa.binary()).cast(pa.string())], names=b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+    done = T.StructType([*raw.fields[:text_at], T.StructField(text_col, T.StringType())])
+    return docs.mapInArrow(finish, done).select(*[f"`{c}`" for c in order])
 
 
 def brute_force(docs: list[tuple[object, str | None]], items: list[tuple[object, str | None]], window: int = 10) -> dict:
