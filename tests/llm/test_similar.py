@@ -40,3 +40,10 @@ def test_stage_against_brute_force(spark, sf, documents):
 def test_edges(edge_docs, no_docs):
     assert similar.keep_one(edge_docs).columns == edge_docs.columns
     assert similar.keep_one(no_docs).count() == 0
+
+
+def test_rows_of_one_id_and_rows_without_an_id(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(1, one), (1, two), (2, two), (None, one), (None, three), (None, three), (3, None), (None, None)]
+    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, three), (1, one), (1, two), (3, "")]

@@ -170,11 +170,16 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id. Rows without an id stay."""
-    found = clusters(docs, id_col, text_col)
-    stay = found.groupBy("root").agg(F.min(id_col).alias("__id")).select("__id").distinct()
-    kept = docs.join(stay, docs[id_col] == stay["__id"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each component: that of the smallest id, then of the smallest tag. Rows without an id come after all others.
+
+    Rows of one id and different texts are told apart.
+    """
+    order = F.struct(F.col(id_col).isNull().alias("lost"), F.col(id_col).alias("id"), "tag")
+    first = clusters(docs, id_col, text_col).groupBy("root").agg(F.min(order).alias("k"))
+    stay = first.select(F.col("k.id").alias("__id"), F.col("k.tag").alias("__stay"))
+    tagged = docs.withColumn("__tag", tag(F.col(text_col)))
+    kept = tagged.join(stay, tagged[id_col].eqNullSafe(stay["__id"]) & (tagged["__tag"] == stay["__stay"]), "left_semi")
+    return kept.dropDuplicates([id_col, "__tag"]).drop("__tag")
 
 
 def brute_force(texts: dict[object, str | None]) -> dict[object, object]:
