@@ -29,10 +29,11 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 100 = 0),
 s AS (
-  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT q.vec_id AS query_id, q.e AS asked, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
@@ -59,10 +60,10 @@ placed AS (
   SELECT rid, doc_id, source, ord, kind, v[i] AS value, length(w[i]) AS size,
     CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
   FROM m WHERE kind <> 'assign' OR length(v[i]) >= {s.ASSIGN_VALUE}),
-owners AS (SELECT value, count(DISTINCT coalesce('x' || source, '')) AS n_owners FROM placed GROUP BY value),
+owners AS (SELECT value, count(DISTINCT coalesce('x' || source, '')) AS n_owners, count(DISTINCT coalesce('x' || doc_id, '')) AS n_repos FROM placed GROUP BY value),
 shown AS (
   SELECT *, start + size AS fin FROM placed JOIN owners USING (value)
-  WHERE kind IN ({base}) OR (n_owners <= {s.MAX_OWNERS} AND len(list_distinct(string_split(value, ''))) >= {s.DISTINCT_CHARS} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]'))),
+  WHERE kind IN ({base}) OR (n_owners <= {s.MAX_OWNERS} AND n_repos <= {s.MAX_REPOS} AND len(list_distinct(string_split(value, ''))) >= {s.DISTINCT_CHARS} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]'))),
 per_row AS (
   SELECT rid, {kinds}, {joined(f" FILTER (kind IN ({base}))")} AS base, {joined('')} AS spans FROM shown GROUP BY rid)
 SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in s.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans

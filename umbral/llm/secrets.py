@@ -3,8 +3,8 @@
 Patterns of two kinds find candidates, leftmost and non-overlapping for each kind. Base kinds (assign,
 access, hex) are always reported. Method kinds (vendor, key, random) cast a wider net and are
 reported where the corpus says that they are live-looking: the candidate's value is hashed, counted over
-distinct repositories and distinct owners, and a value that many owners carry is a copied example,
-while one of few owners that also looks random is taken for a credential.
+distinct repositories and distinct owners, and a value that many owners or many repositories carry is a
+copied example, while one of few that also looks random is taken for a credential.
 
 Positions are code points, end exclusive. Null and empty texts have no spans. Rows that share id
 and text get equal results. A null repository or owner counts as one of its own. Frequency
@@ -37,8 +37,8 @@ METHOD = {
 KINDS = {**BASE, **METHOD}
 #: Least length of a value of the kind assign.
 ASSIGN_VALUE = 12
-#: Values of more owners than this are copied examples.
-MAX_OWNERS = 2
+#: Values of more owners, or of more repositories, than this are copied examples.
+MAX_OWNERS, MAX_REPOS = 2, 20
 #: Distinct characters that a live-looking value has, besides a digit and a letter.
 DISTINCT_CHARS = 8
 MARK = "[SECRET]"
@@ -68,7 +68,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """id, tag, owner, repo, kind, start, end, value_hash, looks_live: one row per span."""
+    """id, tag, owner, repo, kind, start, end, value_start, value_hash, looks_live: one row per span of each distinct (id, tag, repo, owner)."""
+    # Repeated rows have equal spans; one of each is enough, so that a row that is everywhere meets in no window.
+    found = found.where(reduce(lambda a, b: a | b, [F.size(k) > 0 for k in KINDS])).dropDuplicates(["id", "tag", "repo", "owner"])
     parts = [
         found.where(F.size(k) > 0).select("id", "tag", "repo", "owner", F.lit(i).alias("order"), F.lit(k).alias("kind"), F.posexplode(k).alias("i", "m"))
         for i, k in enumerate(KINDS)
@@ -76,15 +78,12 @@ def spans(found: DataFrame) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    # Equal rows of id and text have equal spans; counting each position once also covers them.
     rows = rows.select("id", "tag", "repo", "owner", "order", "kind", "i", F.col("m.gap").alias("gap"), F.length("m.whole").alias("size"), F.col("m.value").alias("value"))
-    before = W.partitionBy("id", "tag", "repo", "owner", "kind").orderBy("i").rangeBetween(W.unboundedPreceding, W.currentRow)
-    copies = W.partitionBy("id", "tag", "repo", "owner", "kind", "i")
-    n = F.count("*").over(copies)
-    end = F.sum(F.col("gap") + F.col("size")).over(before) / n
-    placed = rows.withColumn("end", end.cast("long")).dropDuplicates(["id", "tag", "repo", "owner", "kind", "i"])
+    before = W.partitionBy("id", "tag", "repo", "owner", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before).cast("long"))
     placed = placed.where((F.col("kind") != "assign") | (F.length("value") >= ASSIGN_VALUE))
-    return placed.select("id", "tag", "repo", "owner", "order", "kind", (F.col("end") - F.col("size")).alias("start"), "end", F.sha2(F.col("value").cast("binary"), 256).alias("value_hash"), live_looking(F.col("value")).alias("looks_live"))
+    value_start = (F.col("end") - F.length("value")).alias("value_start")  # every pattern's value ends its match
+    return placed.select("id", "tag", "repo", "owner", "order", "kind", (F.col("end") - F.col("size")).alias("start"), "end", value_start, F.sha2(F.col("value").cast("binary"), 256).alias("value_hash"), live_looking(F.col("value")).alias("looks_live"))
 
 
 def ownership(placed: DataFrame) -> DataFrame:
@@ -96,17 +95,17 @@ def ownership(placed: DataFrame) -> DataFrame:
     return owners.join(repos, "value_hash")
 
 
-def judged(placed: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """The spans with n_repos, n_owners, live (owner-specific and live-looking) and reported."""
+def judged(placed: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """The spans with n_repos, n_owners, live (live-looking, of few owners and few repositories) and reported."""
     out = placed.join(ownership(placed), "value_hash")
-    out = out.withColumn("live", F.col("looks_live") & (F.col("n_owners") <= max_owners))
+    out = out.withColumn("live", F.col("looks_live") & (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
     return out.withColumn("reported", F.col("kind").isin(*BASE) | F.col("live"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """For each row of docs: id_col and its reported spans, an array of (start, order, kind, end, n_repos, n_owners, live) in that order."""
     found = candidates(docs, id_col, text_col, repo_col, owner_col)
-    shown = judged(spans(found), max_owners).where("reported")
+    shown = judged(spans(found), max_owners, max_repos).where("reported")
     per_row = shown.groupBy("id", "tag", "repo", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "order", "kind", "end", "n_repos", "n_owners", "live"))).alias("spans"))
     left, right = found.select("id", "tag", "repo", "owner").alias("l"), per_row.alias("r")
     same = F.lit(True)
@@ -125,8 +124,8 @@ def base_only(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*BASE))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """docs with MARK in the place of each live value.
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """docs with MARK in the place of each live value; what overlapping values cover is one place.
 
     One pass looks for candidates and writes the rows to the work folder, those with candidates apart. Only
     these few are counted, joined with the verdicts and rewritten; all others pass as they are.
@@ -141,16 +140,22 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
 
     tag = F.xxhash64(text, F.length(text))
     found = some.select(F.col(f"`{id_col}`").alias("id"), tag.alias("tag"), F.col(f"`{repo_col}`").cast("string").alias("repo"), F.col(f"`{owner_col}`").cast("string").alias("owner"), *[F.col(f"__{k}").alias(k) for k in KINDS])
-    live = judged(spans(found), max_owners).where("live").groupBy("id", "tag").agg(F.collect_set("value_hash").alias("__live"))
+    live = judged(spans(found), max_owners, max_repos).where("live")
+    live = live.groupBy("id", "tag").agg(F.array_sort(F.collect_set(F.struct("value_start", "end"))).alias("__live"))
     live = live.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), "__live")
     some = some.join(live, some[id_col].eqNullSafe(live["__id"]) & (tag == live["__tag"]), "left")
-    hidden = lambda v: F.array_contains("__live", F.sha2(v.cast("binary"), 256))
-    for pattern, group in KINDS.values():
-        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-        shown = F.zip_with(whole, value, lambda w, v: F.when(hidden(v), F.concat(w.substr(F.lit(1), F.length(w) - F.length(v)), F.lit(MARK))).otherwise(w))
-        gaps = F.split(text, pattern, -1)
-        rebuilt = F.array_join(F.zip_with(gaps, F.concat(shown, F.array(F.lit(""))), lambda g, m: F.concat(g, m)), "")
-        some = some.withColumn(text_col, F.when(F.col("__live").isNull() | ~text.rlike(pattern), text).otherwise(rebuilt))
+    some = some.withColumn(text_col, F.when(F.col("__live").isNull(), text).otherwise(masked(text, F.col("__live"))))
     kept = [f"`{c}`" for c in docs.columns]
     return some.select(*kept).unionByName(rest.select(*kept))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with MARK in the place of each run that the sorted spans (value_start, end) cover; spans may overlap."""
+
+    def add(done: Column, s: Column) -> Column:
+        shown = F.concat(done["out"], text.substr((done["at"] + 1).cast("int"), (s["value_start"] - done["at"]).cast("int")), F.lit(MARK))
+        inside = done["any"] & (s["value_start"] <= done["at"])
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.lit(True).alias("any"), F.when(inside, done["out"]).otherwise(shown).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("any"), F.lit("").alias("out"))
+    return F.aggregate(spans, start, add, lambda d: F.concat(d["out"], text.substr((d["at"] + 1).cast("int"), F.length(text))))

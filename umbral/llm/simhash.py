@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import durable
 
@@ -37,7 +38,8 @@ from .common import durable
 CHUNK, CELL = 1 << 16, 4_000_000
 #: Variants of a fingerprint, on average.
 BALL = 561
-MAX_CELL_BITS = 16
+#: Rounds of components(), each of which roughly halves the longest path; reaching it is an error.
+MAX_ROUNDS = 200
 
 
 def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
@@ -60,16 +62,17 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """id_col and fp (the 64 bits as a signed long) of each row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, keep: tuple | list = ()) -> DataFrame:
+    """id_col, the columns `keep` and fp (the 64 bits as a signed long) of each row."""
+    kept = docs.select(id_col, *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(x.as_py(), width, seed) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+            fp = np.fromiter((fingerprint(x.as_py(), width, seed) for x in b.columns[-1]), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[id_col, *keep, "fp"])
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    schema = T.StructType([*kept.schema.fields, T.StructField("fp", T.LongType())])
+    return docs.select(id_col, *keep, F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
 def hex_of(fp: Column) -> Column:
@@ -153,7 +156,9 @@ def links(unique: DataFrame, cell_size: int = CELL) -> DataFrame:
     """a, b: links that connect just those distinct fingerprints (column fp) which linked pairs connect."""
     stats = unique.agg(F.count("*"), *[F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))) for i in range(64)]).first()
     n, ones = stats[0], [x or 0 for x in stats[1:]]
-    bits = min(MAX_CELL_BITS, max(0, (max(1, n * BALL // cell_size) - 1).bit_length()))
+    # As many bits as keep a cell's share in one task, so that rows and work stay in proportion to n: a
+    # fingerprint reaches some 70 cells at 16 bits, 270 at 32, and with all 64 each of its variants.
+    bits = min(64, max(0, (max(1, n * BALL // cell_size) - 1).bit_length()))
     chosen = sorted(sorted(range(64), key=lambda i: abs(2 * ones[i] - n))[:bits])
     cell_mask = sum(1 << i for i in chosen)
     reach = sorted({m & cell_mask for m in (*masks()[0], *(m for m, _ in masks()[1]))})
@@ -177,14 +182,18 @@ def links(unique: DataFrame, cell_size: int = CELL) -> DataFrame:
     return routed.groupBy("cell", "part").applyInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node that links reach) for all nodes but roots, from links a, b."""
+def components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """node, root (the smallest node that links reach) for all nodes but roots, from links a, b.
+
+    Rounds go on until the links no longer change; should that take more than max_rounds, it is an error.
+    """
     edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     print_of = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first())
-    now = print_of(edges)
-    for _ in range(max_rounds):
-        if not now[0]:
-            break
+    now, rounds = print_of(edges), 0
+    while now[0]:
+        if rounds == max_rounds:
+            raise RuntimeError(f"components have not settled in {max_rounds} rounds")
+        rounds += 1
         # Large star: each larger neighbour of a node is linked to the smallest of the neighbourhood.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -209,12 +218,31 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     return fps.join(labelled.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id. Rows without an id stay."""
-    found = clusters(docs, id_col, text_col)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(stay, docs[id_col] == stay["__id"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+def tag(text: Column) -> Column:
+    """Tells rows of one id and different texts apart."""
+    return F.xxhash64(text, F.length(text))
+
+
+def first_of_groups(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each group of found (id_col, tag, root): that of the smallest id, then tag. Rows without an id come last."""
+    order = F.struct(F.col(id_col).isNull().alias("lost"), F.col(id_col).alias("id"), "tag")
+    first = found.groupBy("root").agg(F.min(order).alias("k"))
+    stay = first.select(F.col("k.id").alias("__id"), F.col("k.tag").alias("__stay"))
+    tagged = docs.withColumn("__tag", tag(F.col(text_col)))
+    kept = tagged.join(stay, tagged[id_col].eqNullSafe(stay["__id"]) & tagged["__tag"].eqNullSafe(stay["__stay"]), "left_semi")
+    return kept.dropDuplicates([id_col, "__tag"]).drop("__tag")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
+    """docs with one row of each component of clusters(): that of the smallest id, rows without an id last.
+
+    Rows of one id and different texts are told apart; equal rows of one id are one row.
+    """
+    fps = durable(fingerprints(docs.select(id_col, tag(F.col(text_col)).alias("tag"), text_col), id_col, text_col, width, seed, ["tag"]))
+    unique = durable(fps.select("fp").distinct())
+    root = components(links(unique))
+    found = fps.join(root, F.col("fp") == F.col("node"), "left").select(id_col, "tag", F.coalesce("root", "fp").alias("root"))
+    return first_of_groups(docs, found, id_col, text_col)
 
 
 def brute_force(texts: dict[int, str | None]) -> dict[int, tuple[str, int]]:

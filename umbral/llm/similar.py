@@ -1,4 +1,7 @@
-"""Near-duplicates by Jaccard similarity of word shingles: an exact prefix-filtered self-join.
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash candidates, completed by an exact prefix-filtered self-join.
+
+Three differing bits find some of the texts of similarity 4/5 and not all, so ball hashing alone cannot
+decide. It proposes the first candidates, by fingerprints of the same shingles; they are compared like all others.
 
 A text's set holds the hashes of its runs of `width` words, lower-cased (A-Z); a shorter text is one
 run. Texts of similarity 4/5 or more are linked, and every such link is found:
@@ -10,8 +13,8 @@ run. Texts of similarity 4/5 or more are linked, and every such link is found:
 * sizes and places within the prefixes rule out pairs that cannot be similar; all others are
   compared by their whole sets. No bucket is capped.
 
-First, each bucket is compared with one of its members, which joins large groups of copies in O(n)
-comparisons. Then what is left are pairs of a bucket that lie in different components so far, and all of
+First, what ball hashing proposes is compared, and each bucket with one of its members, which joins large
+groups of copies in O(n) comparisons. Then what is left are pairs of a bucket that lie in different components so far, and all of
 these are compared. Pairs within one component need no comparison: they cannot change it.
 
 Null and empty texts have the empty set and are copies of each other. Empty tables give empty results.
@@ -26,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .simhash import components
+from .simhash import components, first_of_groups, tag
+from .simhash import links as ball_links
 
 WIDTH = 5
 #: Similarity of linked texts, as a fraction.
@@ -57,8 +61,10 @@ def set_id(hashes: np.ndarray) -> int:
     return xxh64_intdigest(hashes.astype("<u8").tobytes(), 7) - (1 << 63)
 
 
-def tag(text: Column) -> Column:
-    return F.xxhash64(text, F.length(text))
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of the distinct shingles: a bit is set where over half of the hashes have it."""
+    ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def frequent(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -90,22 +96,23 @@ def prefix(hashes: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarra
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For each row: id_col, tag (of the text), sid (of its set), n (size of the set) and prefix."""
+    """For each row: id_col, tag (of the text), sid (of its set), fp (its SimHash), n (size of the set) and prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, id_col, text_col))  # at most KNOWN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sid, n, first = [], [], []
+            sid, fp, n, first = [], [], [], []
             for x in b.column(2):
                 hashes = shingle_set(x.as_py())
                 sid.append(set_id(hashes))
+                fp.append(set_fingerprint(hashes))
                 n.append(len(hashes))
                 first.append(prefix(hashes, *shared.value).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=[id_col, "tag", "sid", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sid, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=[id_col, "tag", "sid", "fp", "n", "prefix"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     text = F.col(text_col)
-    return docs.select(id_col, tag(text).alias("tag"), text.cast("binary").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, tag long, sid long, n int, prefix array<long>")
+    return docs.select(id_col, tag(text).alias("tag"), text.cast("binary").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, tag long, sid long, fp long, n int, prefix array<long>")
 
 
 def possible(n_a: str, at_a: str, n_b: str, at_b: str) -> Column:
@@ -135,9 +142,18 @@ def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str) -
     return ready.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def proposed(one: DataFrame) -> DataFrame:
+    """a, b: pairs of sets that ball hashing brings together; sets of one fingerprint each meet the first of them."""
+    heads = durable(one.groupBy("fp").agg(F.min("sid").alias("head")))
+    mates = one.join(heads, "fp").where("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
+    named = lambda end: heads.select(F.col("fp").alias(f"fp_{end}"), F.col("head").alias(f"head_{end}"))
+    met = ball_links(heads.select("fp")).toDF("fp_a", "fp_b").join(named("a"), "fp_a").join(named("b"), "fp_b")
+    return mates.unionByName(met.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")))
+
+
 def linked(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """node, root: components of the sets of rows; roots are left out."""
-    one = rows.where("n >= 4").groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))  # smaller sets are similar to equal ones only
+    one = rows.where("n >= 4").groupBy("sid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))  # smaller sets are similar to equal ones only
     # Dealt by hash once: the sizes of buckets and the hashes of those with more than one set come from the same exchange.
     tokens = one.select("sid", "n", F.posexplode("prefix").alias("at", "h")).repartition("h")
     sizes = tokens.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
@@ -146,7 +162,7 @@ def linked(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     centre = shared.groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "sid").alias("r"), "sid", "n", "at")).alias("c"))
     stars = shared.join(centre.select("h", "c.sid", "c.n", "c.at").toDF("h", "c_sid", "c_n", "c_at"), "h").where(F.col("sid") != F.col("c_sid"))
     ends = (F.least("sid", "c_sid").alias("a"), F.greatest("sid", "c_sid").alias("b"))
-    pairs = durable(stars.where(possible("n", "at", "c_n", "c_at")).select(*ends).distinct())
+    pairs = durable(stars.where(possible("n", "at", "c_n", "c_at")).select(*ends).unionByName(proposed(one.select("sid", "fp"))).distinct())
     links = durable(similar(pairs, rows, docs, text_col))
     root = components(links)
 
@@ -174,12 +190,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows of one id and different texts are told apart.
     """
-    order = F.struct(F.col(id_col).isNull().alias("lost"), F.col(id_col).alias("id"), "tag")
-    first = clusters(docs, id_col, text_col).groupBy("root").agg(F.min(order).alias("k"))
-    stay = first.select(F.col("k.id").alias("__id"), F.col("k.tag").alias("__stay"))
-    tagged = docs.withColumn("__tag", tag(F.col(text_col)))
-    kept = tagged.join(stay, tagged[id_col].eqNullSafe(stay["__id"]) & (tagged["__tag"] == stay["__stay"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__tag"]).drop("__tag")
+    return first_of_groups(docs, clusters(docs, id_col, text_col), id_col, text_col)
 
 
 def brute_force(texts: dict[object, str | None]) -> dict[object, object]:
