@@ -21,6 +21,25 @@ def test_pieces_do_not_change_ids(plain, text, size):
     assert bpe.encode_text(plain, text, size) == plain.encode_ordinary(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(runs=st.lists(st.tuples(st.sampled_from(["a", "b1", ".", "  ", "漢", "\x1c", "٣"]), st.text(alphabet=st.sampled_from(" \n\t\x85　"), min_size=0, max_size=30)), max_size=6), size=st.integers(2, 9))
+def test_long_white_space_is_one_match(plain, runs, size):
+    text = "".join(a + b for a, b in runs)
+    assert "".join(p for _, p in bpe.parts(text, size)) == text
+    assert bpe.encode_text(plain, text, size) == plain.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "　", " \n"])
+@pytest.mark.parametrize("after", ["", "x"])
+def test_a_million_spaces(plain, space, after):
+    import time
+
+    text, began = "word" + space * 1_000_000 + after, time.perf_counter()
+    ids = bpe.encode_text(plain, text)
+    assert time.perf_counter() - began < 2 * 3
+    assert plain.decode_bytes(ids) == text.encode()
+
+
 def test_round_trip_of_edges(spark, edge_docs, no_docs, ranks, plain):
     both = bpe.round_trip(edge_docs, "text", *ranks)
     rows = both.collect()

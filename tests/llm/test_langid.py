@@ -66,3 +66,63 @@ def test_foreign_symbols_are_rejected(spark):
     models = langid.fit(docs, F.lit(True))
     probe = spark.createDataFrame([(1, "qzx xqj zzkq wvx " * 10), (2, "and then the cat sat on the mat again")], "doc_id long, text string")
     assert {r.doc_id: r.rejected for r in langid.predictions(probe, models, ["doc_id"]).collect()} == {1: True, 2: False}
+
+
+def plain_kneser_ney(texts):
+    """log p of a character after those before it, by dictionaries and recursion."""
+    from collections import Counter, defaultdict
+
+    n_max, seen = langid.ORDER, {n: Counter() for n in range(1, langid.ORDER + 1)}
+    for t in texts:
+        c = langid.codes_of(t).tolist()
+        for i in range(n_max - 1, len(c)):
+            for n in seen:
+                seen[n][tuple(c[i - n + 1 : i + 1])] += 1
+    counts = {n_max: seen[n_max]} | {n: Counter(g[1:] for g in seen[n + 1]) for n in range(1, n_max)}
+    total, kinds, discount = defaultdict(int), defaultdict(int), {}
+    for n, grams in counts.items():
+        once, twice = (sum(v == k for v in grams.values()) for k in (1, 2))
+        discount[n] = once / (once + 2 * twice) if once and twice else 0.5
+        for g, v in grams.items():
+            total[n, g[:-1]] += v
+            kinds[n, g[:-1]] += 1
+
+    def p(gram):
+        n, context = len(gram), gram[:-1]
+        below = p(gram[1:]) if n > 1 else 1 / langid.ALPHABET
+        if not total[n, context]:
+            return below
+        return max(0, counts[n][gram] - discount[n]) / total[n, context] + discount[n] * kinds[n, context] / total[n, context] * below
+
+    return lambda codes, i: np.log(p(tuple(codes[i - n_max + 1 : i + 1])))
+
+
+def test_models_against_plain_kneser_ney():
+    texts = {"aa": ["the cat sat on the mat", "a cat, a mat!", "the the"], "bb": ["das ist ein haus", "das das"]}
+    model = langid.Models(list(texts), texts)
+    for t in ("the cat is ein mat", "zzz ist", "a"):
+        codes = langid.codes_of(t)
+        got = model.log_p(codes)
+        for k, name in enumerate(model.names):
+            plain = plain_kneser_ney(texts[name])
+            want = [plain(codes.tolist(), i) for i in range(langid.ORDER - 1, len(codes))]
+            assert np.allclose(got[langid.ORDER - 1 :, k], want, atol=1e-5)
+
+
+def test_ties_and_long_labelled_texts(spark):
+    # Two languages of the same texts tie: the first name wins. A language of long texts only is learned too.
+    rows = [(i, "one two three four", lang) for i, lang in enumerate(["y", "x"] * 10)] + [(100 + i, "langer text " * 3000, "z") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert model.names == ["x", "y", "z"]
+    assert [r[0] for r in model.predict(["one two", "langer text"])] == ["x", "z"]
+    assert len(langid.fit(docs.unionByName(docs).unionByName(docs), F.lit(True)).names) == 3
+
+
+def test_rejection_of_what_no_language_has_and_of_mixtures(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs, F.lit(True))
+    texts = [r.text for r in docs.where("lang IS NOT NULL AND length(text) > 200").limit(40).collect()]
+    mixed = [a[:150] + " " + b[:150] for a, b in zip(texts, texts[1:])]
+    assert not any(r[3] for r in model.predict(texts + mixed))
+    assert all(r[3] for r in model.predict(["ж" * 50, "xq zvkj wpfx " * 20, "漢字かな" * 30]))

@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline
-from umbral.llm import bpe, decontam, simhash
+from umbral.llm import bpe, decontam, similar
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,7 @@ def test_language_id_keeps_clean_documents(kept):
 
 def test_one_of_each_group_stays(kept):
     before = texts(kept["language_id"])
-    want = {i for i, (_, c) in simhash.brute_force(before).items() if i == c}
+    want = {i for i, c in similar.brute_force(before).items() if i == c}  # five words, a similarity of 0.8 or more
     assert set(texts(kept["near_dedup"])) == want
 
 
@@ -67,3 +67,15 @@ def test_stages_take_empty_tables(spark, sf, kept):
     none = kept["documents"].limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf).count() == 0
+
+
+def test_stages_take_null_and_repeated_ids_and_more_columns(spark, sf, edge_docs):
+    docs = edge_docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name != "tokenize":
+            assert out.columns == edge_docs.columns
+            docs = spark.createDataFrame(out.collect(), out.schema)
+    kept = {(r.doc_id, r.text) for r in docs.collect()}
+    assert kept <= {(r.doc_id, r.text) for r in edge_docs.collect()} and (8, "one two") in kept and (101, "the same text here as there") not in kept
+    assert out.count() == docs.count()

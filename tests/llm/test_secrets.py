@@ -59,6 +59,19 @@ def test_redaction(spark, edge_docs, no_docs):
     assert secrets.scan(edge_docs).count() == edge_docs.count()
 
 
+def test_overlapping_values_are_masked_whole(spark):
+    value = "Zq9Wm_deadbeef01234567Xy8Kp3Lr7Vt2"
+    texts = [f"a {value} b", f"token={value}", f"ghp_{value}/{value} z", "x"]
+    out = {r.doc_id: r.text for r in secrets.redact(frame(spark, [(i, t, "a", 0, "") for i, t in enumerate(texts)])).collect()}
+    assert out[0] == "a [SECRET] b" and out[1] == "token=[SECRET]" and out[2] == "[SECRET] z" and out[3] == "x"
+
+
+def test_many_repositories_of_one_owner_hold_a_copied_example(spark):
+    rows = [(i, f"{i} {SHARED}", "one", 0, "") for i in range(secrets.MAX_REPOS + 1)] + [(100 + i, f"{i} {LIVE}", "one", 0, "") for i in range(secrets.MAX_REPOS)]
+    out = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(frame(spark, rows)).collect()}
+    assert not out[0] and "vendor" in out[100]
+
+
 def test_plan_is_native(spark):
     df = frame(spark, [(1, "token=abcdefghijklmnop", "s", 0, "")])
     for out in (secrets.scan(df), secrets.redact(df)):

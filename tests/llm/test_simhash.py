@@ -101,7 +101,19 @@ def test_edges(edge_docs, no_docs):
     kept = simhash.keep_one(edge_docs)
     assert kept.columns == edge_docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 3, 4, 5, 6, 7, 8, 100]
-    assert kept.where("doc_id IS NULL").count() == 2
+    assert [r.text for r in kept.where("doc_id IS NULL").collect()] == ["lost"]  # the other is one of the empty texts
+
+
+def test_rows_of_one_id_and_different_texts_are_told_apart(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    docs = spark.createDataFrame([(1, one), (1, two), (1, two), (2, one), (None, two)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(1, one), (1, two)]
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(300)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        simhash.components(links, max_rounds=2)
 
 
 def test_query_against_brute_force(spark, sf, documents):

@@ -3,7 +3,9 @@
 Nulls encode like the empty text (no ids); a null id list decodes to no bytes. Repeated rows are
 encoded each for itself. All other columns of the input pass through; the added column
 replaces one of the same name. Texts of any length are whole: long ones are cut only where a
-match of the pattern ends whatever stands around it, so ids equal those of the uncut text.
+match of the pattern ends whatever stands around it, so ids equal those of the uncut text. A very long run
+of white space is one match, on which the library's pattern matching would run out of stack: it is found by a
+plain scan and encoded as one piece.
 """
 
 import base64
@@ -25,6 +27,10 @@ BATCH_BYTES = 1 << 19
 SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \t\n])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 
+#: White space as the pattern's \\s has it.
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def rank_table(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
@@ -52,12 +58,31 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[start:]
 
 
+def parts(text: str, size: int = PIECE) -> Iterator[tuple[bool, str]]:
+    """The text in order, in runs of white space of `size` characters or more that are one match each (True), and what lies between."""
+    start = 0
+    for run in re.finditer(rf"{SPACE}{{{size},}}", text):
+        # The last character of a run that does not end the text belongs to what follows.
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        yield False, text[start : run.start()]
+        yield True, text[run.start() : end]
+        start = end
+    yield False, text[start:]
+
+
 def encode_text(encoder, text: str | None, size: int = PIECE) -> list[int]:
     if not text:
         return []
     if len(text) <= size:
         return encoder.encode_ordinary(text)
-    return [i for piece in pieces(text, size) for i in encoder.encode_ordinary(piece)]
+    ids: list[int] = []
+    for run, part in parts(text, size):
+        if run:
+            ids += encoder._core_bpe.encode_single_piece(part.encode()) if part else []
+        else:
+            for piece in pieces(part, size):
+                ids += encoder.encode_ordinary(piece)
+    return ids
 
 
 def _slices(batch: pa.RecordBatch, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

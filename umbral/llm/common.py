@@ -4,6 +4,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Longer lists hold no objects of this package.
+FEW = 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,3 +28,28 @@ def durable(df: DataFrame, eager: bool = True) -> DataFrame:
     """df with its lineage cut in the work folder."""
     work_folder(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def plain(value):
+    """value with each object of this package as (its class's name, its attributes): a broadcast that needs no package to be read."""
+    if type(value).__module__.startswith(__package__):
+        return {"__class": type(value).__name__, "__state": plain(vars(value))}
+    if isinstance(value, dict) and len(value) <= FEW:
+        return {k: plain(v) for k, v in value.items()}
+    if isinstance(value, list | tuple) and len(value) <= FEW:
+        return type(value)(map(plain, value))
+    return value
+
+
+def rebuilt(value, *classes: type):
+    """The value that plain() took apart; the classes travel with the function that calls this."""
+    if isinstance(value, dict) and "__class" in value:
+        kind = next(c for c in classes if c.__name__ == value["__class"])
+        made = kind.__new__(kind)
+        made.__dict__.update(rebuilt(value["__state"], *classes))
+        return made
+    if isinstance(value, dict) and len(value) <= FEW:
+        return {k: rebuilt(v, *classes) for k, v in value.items()}
+    if isinstance(value, list | tuple) and len(value) <= FEW:
+        return type(value)(rebuilt(v, *classes) for v in value)
+    return value

@@ -6,7 +6,8 @@ longest suffix read so far that occurs in an item. A window is `window` consecut
 item, or the whole of a shorter item; each place where the match reaches a window marks its words.
 
 The items are read in blocks of bounded size, one automaton each, so what is sent to the executors
-is bounded however large the benchmark is; documents pass over each block in turn.
+is bounded however large the benchmark is; documents pass over each block in turn. Longer items are divided
+among blocks, with every window whole in one of them.
 
 Null texts and texts without words have no words and are never hit. Items without words have no
 window. Rows that share an item id count as one item; items with a null id are ignored. Repeated
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import plain, rebuilt
+
 #: Words of the items that one automaton holds.
 BLOCK_WORDS = 400_000
 
@@ -169,11 +172,15 @@ def automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, bloc
     size = 0
     for r in benchmark.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).cast("binary")).toLocalIterator():
         words = words_of(r[1])
-        if block and size + len(words) > block_words:
-            yield SuffixAutomaton(block, window)
-            block, size = [], 0
-        block.append((str(r[0]), words))
-        size += len(words)
+        # An item longer than a block is divided; its parts overlap so that each window lies in one of them.
+        step = max(1, block_words - window + 1)
+        for at in range(0, max(1, len(words) - window + 1), step):
+            part = words[at : at + step + window - 1]
+            if block and size + len(part) > block_words:
+                yield SuffixAutomaton(block, window)
+                block, size = [], 0
+            block.append((str(r[0]), part))
+            size += len(part)
     yield SuffixAutomaton(block, window)
 
 
@@ -186,10 +193,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
     spans_of = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def over(automaton: SuffixAutomaton) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)  # bounded by block_words
+        shared = docs.sparkSession.sparkContext.broadcast(plain(automaton))  # bounded by block_words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sam = shared.value
+            sam = rebuilt(shared.value, SuffixAutomaton)
             for b in batches:
                 n, spans, items = [], [], []
                 for text in b.column(2):
@@ -261,10 +268,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage
     docs = docs.select(*rest, F.col(text_col).cast("binary").alias(text_col), F.array().cast("array<long>").alias("__spans"))
     raw, text_at = docs.schema, len(order) - 1
     for automaton in automata(benchmark, item_id, item_text, window, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+        shared = docs.sparkSession.sparkContext.broadcast(plain(automaton))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sam = shared.value
+            sam = rebuilt(shared.value, SuffixAutomaton)
             for b in batches:
                 hit = []
                 for x, before in zip(b.columns[text_at], b.columns[text_at + 1].to_pylist(), strict=True):

@@ -6,10 +6,13 @@ n-gram hashes, each with one row of log-probabilities, one column per language:
 value where the language has the n-gram, its back-off where it hasn't. The language of lowest
 cross-entropy per character wins; ties go to the name that sorts first.
 
-The classifier is fitted on a bounded sample of labelled rows: up to MAX_ROWS rows per language of at
-most MAX_CHARS characters, those of smallest id hash. A fifth of them calibrates: the temperature of
-the score, and the cross-entropy beyond which a text is rejected as no text of its language.
-Prediction reads whole texts and nothing but texts.
+The classifier is fitted on a bounded sample of labelled rows: up to MAX_ROWS rows per language, those of
+smallest hash whatever their length, of each of which at most MAX_CHARS characters. A fifth of them calibrates: the
+temperature of the score, and rejection. What is judged is the cross-entropy of the best language at each character, so
+that a text of several learned languages is in them. That of a language's texts of n characters is taken to have a
+variance of s0 + s1 / n (between texts, and within one), fitted on whole texts and clips; a text is
+rejected where it lies further above the mean than the tail of the calibration texts, continued as an exponential,
+does at the rate FALSE_REJECTIONS. Prediction reads whole texts and nothing but texts.
 
 Null texts and texts without a letter are `und` with score 0, and are rejected. With no labelled
 rows every text is `und`. Repeated rows get equal predictions.
@@ -22,18 +25,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import plain, rebuilt
 
 ORDER = 5
 #: The bounds of the sample that the classifier is fitted on.
-MAX_ROWS, MAX_CHARS = 300, 20_000
-#: Characters that are scored at once.
-BLOCK = 1 << 19
+MAX_ROWS, MAX_CHARS = 400, 20_000
+#: Characters that are scored at once, and bytes of text that a worker turns into strings at once.
+BLOCK, SLICE = 1 << 18, 1 << 21
 #: Characters that an unseen one is taken to be one of.
 ALPHABET = 5_000
-#: Nats per character that a text may lie above the worst calibration text of its language.
-MARGIN = 1.75
-#: Nats that a text may cost beyond that whatever its length, so that a few odd words are no reason.
-SHORT = 15.0
+#: Share of a language's own texts that may be rejected.
+FALSE_REJECTIONS = 1e-6
+#: Nats per character that unseen text costs at least; less is a sign of copies of fitted texts among those that calibrate.
+LEAST_LOSS = 1.0
+#: Lengths of the clips that calibrate, and the share of their largest losses that gives the tail.
+CLIPS, TAIL = (20, 60, 200), 0.1
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,7 +114,9 @@ class Models:
         self.names = sorted(names)
         self.grams: list = [None] * (ORDER + 1)
         self.backoff: list = [None] * ORDER
-        self.temperature, self.limit = 1.0, np.full(len(names), np.inf)
+        self.temperature = 1.0
+        # Of each language: mean loss, variance between texts and per character, and how many deviations are too many.
+        self.typical = np.tile([0.0, 1.0, 1.0, np.inf], (len(names), 1))
         if not names:
             return
         single = [self._fit([codes_of(t) for t in texts[name]]) for name in self.names]
@@ -170,8 +180,8 @@ class Models:
         return out
 
     def sums(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Log-probabilities of consecutive texts (each from starts[k] on, its padding included), by language."""
-        total = np.zeros((len(starts), len(self.names)))
+        """Log-probabilities of consecutive texts (each from starts[k] on, its padding included), by language; last, of the best one at each place."""
+        total = np.zeros((len(starts), len(self.names) + 1))
         real = np.ones(len(codes), bool)
         for k in range(ORDER - 1):
             real[starts + k] = False
@@ -183,7 +193,8 @@ class Models:
             inside = np.flatnonzero((starts > a) & (starts < a + BLOCK))
             cuts = np.concatenate([[0], starts[inside] - a])
             first = int(np.searchsorted(starts, a, "right")) - 1
-            total[first : first + len(cuts)] += np.add.reduceat(value, cuts, axis=0, dtype=np.float64)
+            total[first : first + len(cuts), :-1] += np.add.reduceat(value, cuts, axis=0, dtype=np.float64)
+            total[first : first + len(cuts), -1] += np.add.reduceat(value.max(1), cuts, dtype=np.float64)
         return total
 
     def log_p(self, codes: np.ndarray) -> np.ndarray:
@@ -205,21 +216,22 @@ class Models:
                 out[todo[known]] += self.backoff[n - 1].values[back[known]]
         return out
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log-probability per character by language, and lengths."""
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean log-probability per character by language and of the best one at each, and lengths."""
         codes = [codes_of(t) for t in texts]
         length = np.array([len(c) for c in codes])
         starts = np.concatenate([[0], np.cumsum(length)[:-1]])
         n = np.maximum(1, length - ORDER + 1)
-        return self.sums(np.concatenate(codes), starts) / n[:, None], n
+        mean = self.sums(np.concatenate(codes), starts) / n[:, None]
+        return mean[:, :-1], mean[:, -1], n
 
     def calibrate(self, texts: list[str], langs: list[str]) -> None:
         """Temperature of least log loss; the cross-entropy beyond which nothing of a language lies."""
         if not texts:
             return
         # Clips make the sample as hard as short texts are.
-        clips = [(t[:n], lang) for n in (20, 60, 200) for t, lang in zip(texts, langs, strict=True)]
-        mean, n = self.score([t for t, _ in clips])
+        clips = [(t[:n], lang) for n in CLIPS for t, lang in zip(texts, langs, strict=True)]
+        mean, _, n = self.score([t for t, _ in clips])
         y = np.array([self.names.index(lang) for _, lang in clips])
         losses = []
         for t in (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0):
@@ -227,12 +239,24 @@ class Models:
             z = z - z.max(1, keepdims=True)
             losses.append((float((np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]).mean()), t))
         self.temperature = min(losses)[1]
-        mean, n = self.score([t for t, _ in clips] + texts)
+        _, best, n = self.score([t for t, _ in clips] + texts)
         y = np.concatenate([y, [self.names.index(lang) for lang in langs]])
         for k in range(len(self.names)):
-            own = -mean[y == k, k]
-            if len(own):
-                self.limit[k] = own.max() + MARGIN
+            loss, length = -best[y == k], n[y == k]
+            if len(loss):
+                self.typical[k] = self.tail(loss, length)
+
+    @staticmethod
+    def tail(loss: np.ndarray, length: np.ndarray) -> tuple[float, float, float, float]:
+        centre = float(np.average(loss, weights=length))
+        # Least squares of the squared deviations on 1 and 1 / n, none of them negative.
+        square, x = (loss - centre) ** 2, 1 / length
+        slope = max(0.0, float(np.cov(x, square, bias=True)[0, 1] / max(x.var(), 1e-12)))
+        between = max(1e-3, float(square.mean() - slope * x.mean()))
+        far = np.sort((loss - centre) / np.sqrt(between + slope * x))
+        start = far[int((1 - TAIL) * (len(far) - 1))]
+        beyond = float((far[far >= start] - start).mean()) if len(far) > 1 else 1.0
+        return max(centre, LEAST_LOSS), between, slope, float(start + max(beyond, 0.3) * np.log(TAIL / FALSE_REJECTIONS))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
         """Language, score, cross-entropy in nats per character, rejected."""
@@ -247,29 +271,31 @@ class Models:
                 at.append(i)
                 size += len(t)
         for group in [*todo, at] if at else todo:
-            mean, n = self.score([texts[i] for i in group])
+            mean, any_, n = self.score([texts[i] for i in group])
             best = mean.argmax(1)
             z = (mean - mean.max(1, keepdims=True)) * n[:, None] * self.temperature
             p = 1 / np.exp(z).sum(1)
             for j, i in enumerate(group):
                 k = int(best[j])
-                loss = -float(mean[j, k])
-                out[i] = self.names[k], float(p[j]), loss, bool(loss > self.limit[k] + SHORT / n[j])
+                loss, least = -float(mean[j, k]), -float(any_[j])
+                centre, between, slope, far = self.typical[k]
+                out[i] = self.names[k], float(p[j]), loss, bool(least - centre > far * np.sqrt(between + slope / n[j]))
         return out
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Models:
     """Models of the languages that rows of `learn` are labelled with."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(1), F.col(id_col).cast("string")), F.lit(1 << 40)).alias("h"))
-    size = F.length("text")
-    counts = {r[0]: r[1] for r in rows.where(size.between(1, max_chars)).groupBy("lang").count().collect()}
+    # The hash takes the text in, so that rows of one id draw apart; equal rows draw alike, and one of them is enough.
+    text = F.substring(text_col, 1, max_chars)
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.pmod(F.xxhash64(F.lit(1), F.col(id_col).cast("string"), text_col), F.lit(1 << 40)).alias("h")).where("text <> ''")
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Models([], {})
     # About max_rows rows of each language come to the driver, the bound itself is kept there.
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 1.2 * max_rows / n) * (1 << 40)))]), F.col("lang"))
     sample: dict[str, list[tuple[int, str]]] = {k: [] for k in counts}
-    for r in rows.where(size.between(1, max_chars) & (F.col("h") <= share)).collect():
+    for r in rows.where(F.col("h") <= share).dropDuplicates(["lang", "h"]).toLocalIterator():
         sample[r[0]].append((r[2], r[1]))
     chosen = {k: [t for _, t in sorted(v)[:max_rows]] for k, v in sample.items()}
     held = {k: v[:: 5] if len(v) >= 5 else [] for k, v in chosen.items()}
@@ -278,18 +304,41 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     return model
 
 
+FOUND = (("lang_pred", T.StringType(), pa.string()), ("score", T.DoubleType(), pa.float64()), ("cross_entropy", T.DoubleType(), pa.float64()), ("rejected", T.BooleanType(), pa.bool_()))
+
+
+def slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows whose column `at` has about SLICE bytes."""
+    for whole in batches:
+        step = max(1, SLICE * whole.num_rows // max(1, whole.columns[at].nbytes))
+        for first in range(0, whole.num_rows, step):
+            yield whole.slice(first, step)
+
+
 def predictions(docs: DataFrame, models: Models, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` with lang_pred, score, cross_entropy and rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # its size follows the bounded sample
-    kept = [F.col(f"`{c}`") for c in keep]
-    names = [*keep, "lang_pred", "score", "cross_entropy", "rejected"]
+    """The columns `keep` with lang_pred, score, cross_entropy and rejected, which replace kept columns of these names."""
+    shared = docs.sparkSession.sparkContext.broadcast(plain(models))  # its size follows the bounded sample
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep if c not in {n for n, _, _ in FOUND}])
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t, _ in FOUND)])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            found = list(zip(*m.predict(b.columns[-1].to_pylist()), strict=True)) or [[], [], [], []]
-            columns = [pa.array(x, t) for x, t in zip(found, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=names)
-
-    schema = docs.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0).cast("double"), "cross_entropy": F.lit(None).cast("double"), "rejected": F.lit(True)}).schema
-    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+        m = rebuilt(shared.value, Models, Hashed)
+        for b in slices(batches, -1):
+            found = zip(*m.predict(b.columns[-1].to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(x, t) for x, (_, _, t) in zip(found, FOUND, strict=True)]], names=names)
+
+    return docs.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they are, whose text is not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(plain(models))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = rebuilt(shared.value, Models, Hashed)
+        for b in slices(batches, at):
+            yield b.filter(pa.array([not r[3] for r in m.predict(b.columns[at].to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
