@@ -24,11 +24,14 @@ def with_length(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in none of the learned languages go; lang stays the given label."""
     models = langid.fit(docs, learns(5, held=0))
-    return langid.predictions(docs, models, docs.columns).where("NOT rejected").select(*[f"`{c}`" for c in docs.columns])
+    return langid.accepted(docs, models)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a similarity of 0.8 or more of five-word runs that of the smallest id stays."""
+    """Of each group of documents linked by a similarity of 0.8 or more of five-word runs that of the smallest id stays.
+
+    SimHash balls propose candidates, and an exact join finds the links that three bits miss.
+    """
     return similar.keep_one(docs)
 
 
