@@ -47,3 +47,18 @@ def test_rows_of_one_id_and_rows_without_an_id(spark):
     rows = [(1, one), (1, two), (2, two), (None, one), (None, three), (None, three), (3, None), (None, None)]
     kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, three), (1, one), (1, two), (3, "")]
+
+
+def test_hashes_in_common(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, 9, sorted(set(rng.integers(-400, 400, 6).tolist()) | ({7} if i % 3 else set()))) for i in range(150)]
+    one = spark.createDataFrame(rows, "sid long, n int, prefix array<long>").repartition(5)
+    holders = {}
+    for i, _, p in rows:
+        for h in p:
+            holders.setdefault(h, []).append(i)
+    want = sorted((h, i, 9, p.index(h)) for i, _, p in rows for h in p if len(holders[h]) > 1)
+    for cell in (similar.CELL, 50):
+        assert sorted(map(tuple, similar.in_common(one, cell).collect())) == want

@@ -267,34 +267,42 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage
     # Start, end, start, end, ... of the hit spans so far, in the last column.
     docs = docs.select(*rest, F.col(text_col).cast("binary").alias(text_col), F.array().cast("array<long>").alias("__spans"))
     raw, text_at = docs.schema, len(order) - 1
-    for automaton in automata(benchmark, item_id, item_text, window, block_words):
+    done = T.StructType([*raw.fields[:text_at], T.StructField(text_col, T.StringType())])
+
+    def finished(b: pa.RecordBatch, hits: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        texts, keep = [], []
+        for x, spans in zip(b.columns[text_at], hits, strict=True):
+            text = x.as_py()
+            keep.append(not spans or sum(e - a for a, e in spans) <= max_coverage * len(words_of(text)))
+            texts.append(cut(text, spans) if spans and keep[-1] else text)
+        return pa.RecordBatch.from_arrays([*b.columns[:text_at], pa.array(texts, pa.binary()).cast(pa.string())], names=b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+    def passed(automaton: SuffixAutomaton, last: bool):
         shared = docs.sparkSession.sparkContext.broadcast(plain(automaton))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sam = rebuilt(shared.value, SuffixAutomaton)
             for b in batches:
-                hit = []
+                hits = []
                 for x, before in zip(b.columns[text_at], b.columns[text_at + 1].to_pylist(), strict=True):
                     spans: list[tuple[int, int]] = []
                     for s in sorted([*zip(before[::2], before[1::2], strict=True), *sam.stream(words_of(x.as_py()))[0]]):
                         _mark(spans, *s)
-                    hit.append([end for s in spans for end in s])
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hit, spans_of)], names=b.schema.names)
-
-        docs = docs.mapInArrow(run, raw)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, keep = [], []
-            for x, hit in zip(b.columns[text_at], b.columns[text_at + 1].to_pylist(), strict=True):
-                text = x.as_py()
-                spans = list(zip(hit[::2], hit[1::2], strict=True))
-                keep.append(not spans or sum(e - a for a, e in spans) <= max_coverage * len(words_of(text)))
-                texts.append(cut(text, spans) if spans and keep[-1] else text)
-            yield pa.RecordBatch.from_arrays([*b.columns[:text_at], pa.array(texts, pa.binary()).cast(pa.string())], names=b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
-
-    done = T.StructType([*raw.fields[:text_at], T.StructField(text_col, T.StringType())])
-    return docs.mapInArrow(finish, done).select(*[f"`{c}`" for c in order])
+                    hits.append(spans)
+                if last:
+                    yield finished(b, hits)
+                else:
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([[end for s in spans for end in s] for spans in hits], spans_of)], names=b.schema.names)
+
+        return run
+
+    # The pass of the last block also judges and cuts, so that one block is one pass.
+    blocks = automata(benchmark, item_id, item_text, window, block_words)
+    now, after = next(blocks), next(blocks, None)
+    while after is not None:
+        docs = docs.mapInArrow(passed(now, False), raw)
+        now, after = after, next(blocks, None)
+    return docs.mapInArrow(passed(now, True), done).select(*[f"`{c}`" for c in order])
 
 
 def brute_force(docs: list[tuple[object, str | None]], items: list[tuple[object, str | None]], window: int = 10) -> dict:

@@ -37,6 +37,8 @@ WIDTH = 5
 OF, IN = 4, 5
 #: Documents that the pilot reads, and hashes that it may name as frequent.
 PILOT, KNOWN = 5000, 50_000
+#: Hashes of prefixes that one task sorts, and bytes of text that a worker reads at once.
+CELL, SLICE = 4_000_000, 1 << 21
 
 
 def shingle_set(text: bytes | None, width: int = WIDTH, seed: int = 42) -> np.ndarray:
@@ -95,19 +97,28 @@ def prefix(hashes: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarra
     return hashes[np.argsort(of, kind="stable")][: n + (-n * OF // IN) + 1]
 
 
+def slices(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows whose columns have about SLICE bytes."""
+    for whole in batches:
+        step = max(1, SLICE * whole.num_rows // max(1, sum(whole.columns[c].nbytes for c in columns)))
+        for at in range(0, whole.num_rows, step):
+            yield whole.slice(at, step)
+
+
 def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """For each row: id_col, tag (of the text), sid (of its set), fp (its SimHash), n (size of the set) and prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, id_col, text_col))  # at most KNOWN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        known = shared.value
+        for b in slices(batches, 2):
             sid, fp, n, first = [], [], [], []
             for x in b.column(2):
                 hashes = shingle_set(x.as_py())
                 sid.append(set_id(hashes))
                 fp.append(set_fingerprint(hashes))
                 n.append(len(hashes))
-                first.append(prefix(hashes, *shared.value).view(np.int64))
+                first.append(prefix(hashes, *known).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sid, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=[id_col, "tag", "sid", "fp", "n", "prefix"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -125,7 +136,7 @@ def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str) -
     """a, b: those of the pairs of set ids whose sets are similar."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2, 3):
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = shingle_set(x.as_py()), shingle_set(y.as_py())
@@ -151,13 +162,60 @@ def proposed(one: DataFrame) -> DataFrame:
     return mates.unionByName(met.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")))
 
 
+def in_common(one: DataFrame, cell: int = CELL) -> DataFrame:
+    """h, sid, n, at: the places of prefixes whose hash other sets have in theirs too; most hashes are of one set only and go no further.
+
+    Hashes travel packed, dealt into cells by their leading bits. Of those that several sets of a batch
+    share, which are in common whatever the rest holds, one stands for all: a hash that is everywhere reaches its
+    cell once for each batch.
+    """
+    total = one.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    bits = max(0, (max(1, -(-total // cell)) - 1).bit_length())
+    longs, schema = pa.list_(pa.int64()), "cell int, h array<long>, sid array<long>, place array<long>, sent array<boolean>"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of cells; those of cell -1 are known to be in common."""
+        for b in batches:
+            lists = b.column("prefix")
+            length = np.diff(lists.offsets.to_numpy())
+            h = lists.flatten().to_numpy(zero_copy_only=False)
+            sid, n = (np.repeat(b.column(c).to_numpy(), length) for c in ("sid", "n"))
+            at = np.arange(len(h)) - np.repeat(np.cumsum(length) - length, length)
+            place = n.astype(np.int64) << 32 | at
+            order = np.argsort(h, kind="stable")
+            h, sid, place = h[order], sid[order], place[order]
+            first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+            alone = first & np.concatenate([first[1:], [True]]) if len(h) else first
+            to = (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+            out = [[], [], [], [], []]
+            for name, mine in [(-1, np.flatnonzero(~alone)), *((int(c), np.flatnonzero(first & (to == c))) for c in np.unique(to))]:
+                if len(mine):
+                    for column, value in zip(out, (name, h[mine], sid[mine], place[mine], ~alone[mine]), strict=True):
+                        column.append(value)
+            kinds = (pa.int32(), longs, longs, longs, pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["cell", "h", "sid", "place", "sent"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        h, sid, place, sent = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("h", "sid", "place", "sent"))
+        order = np.argsort(h, kind="stable")
+        h, sid, place, sent = h[order], sid[order], place[order], sent[order]
+        same = np.flatnonzero(h[1:] == h[:-1])
+        mine = np.union1d(same, same + 1)
+        mine = mine[~sent[mine]]  # the others were known before
+        return pa.Table.from_arrays([pa.array(x[mine], pa.int64()) for x in (h, sid, place)], names=["h", "sid", "place"])
+
+    dealt = durable(one.select("sid", "n", "prefix").mapInArrow(deal, schema))
+    known = dealt.where("cell < 0").select(F.explode(F.arrays_zip("h", "sid", "place")).alias("x")).select("x.h", "x.sid", "x.place")
+    found = dealt.where("cell >= 0").groupBy("cell").applyInArrow(meet, "h long, sid long, place long").unionByName(known)
+    return found.select("h", "sid", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
+
+
 def linked(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """node, root: components of the sets of rows; roots are left out."""
-    one = rows.where("n >= 4").groupBy("sid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))  # smaller sets are similar to equal ones only
-    # Dealt by hash once: the sizes of buckets and the hashes of those with more than one set come from the same exchange.
-    tokens = one.select("sid", "n", F.posexplode("prefix").alias("at", "h")).repartition("h")
-    sizes = tokens.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    shared = durable(tokens.join(sizes, "h").select("h", "sid", "n", "at", "size"))
+    one = durable(rows.where("n >= 4").groupBy("sid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))  # smaller sets are similar to equal ones only
+    tokens = durable(in_common(one))
+    sizes = tokens.groupBy("h").agg(F.count("*").alias("size"))
+    shared = tokens.join(sizes, "h").select("h", "sid", "n", "at", "size")
     # Centres differ between buckets, so that members far from one centre are near another.
     centre = shared.groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "sid").alias("r"), "sid", "n", "at")).alias("c"))
     stars = shared.join(centre.select("h", "c.sid", "c.n", "c.at").toDF("h", "c_sid", "c_n", "c_at"), "h").where(F.col("sid") != F.col("c_sid"))
