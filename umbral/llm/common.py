@@ -30,6 +30,17 @@ def durable(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+#: Rows of an Arrow batch, where the session does not say otherwise: texts are wide, and a batch of 10 000 long ones fills a worker.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's rows per Arrow batch to BATCH_ROWS, unless it was set before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def plain(value):
     """value with each object of this package as (its class's name, its attributes): a broadcast that needs no package to be read."""
     if type(value).__module__.startswith(__package__):

@@ -171,10 +171,12 @@ def in_common(one: DataFrame, cell: int = CELL) -> DataFrame:
     """
     total = one.agg(F.sum(F.size("prefix"))).first()[0] or 0
     bits = max(0, (max(1, -(-total // cell)) - 1).bit_length())
-    longs, schema = pa.list_(pa.int64()), "cell int, h array<long>, sid array<long>, place array<long>, sent array<boolean>"
+    longs, schema = pa.list_(pa.int64()), "cell int, h array<long>, sid array<long>, place array<long>, kind array<tinyint>"
+    leading = lambda x: (x.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+    OPEN, STANDS, KNOWN_ = 0, 1, 2
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of cells; those of cell -1 are known to be in common."""
+        """Rows of cells: hashes of one set of the batch, one of each that several share, and all of these, which pass (spread by set)."""
         for b in batches:
             lists = b.column("prefix")
             length = np.diff(lists.offsets.to_numpy())
@@ -186,27 +188,29 @@ def in_common(one: DataFrame, cell: int = CELL) -> DataFrame:
             h, sid, place = h[order], sid[order], place[order]
             first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
             alone = first & np.concatenate([first[1:], [True]]) if len(h) else first
-            to = (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+            known, sends = np.flatnonzero(~alone), np.flatnonzero(first)
+            rows = np.concatenate([sends, known])
+            kind = np.concatenate([np.where(alone[sends], OPEN, STANDS), np.full(len(known), KNOWN_)]).astype(np.int8)
+            to = np.concatenate([leading(h[sends]), leading(sid[known])])
             out = [[], [], [], [], []]
-            for name, mine in [(-1, np.flatnonzero(~alone)), *((int(c), np.flatnonzero(first & (to == c))) for c in np.unique(to))]:
-                if len(mine):
-                    for column, value in zip(out, (name, h[mine], sid[mine], place[mine], ~alone[mine]), strict=True):
-                        column.append(value)
-            kinds = (pa.int32(), longs, longs, longs, pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["cell", "h", "sid", "place", "sent"])
+            for name in np.unique(to):
+                mine = np.flatnonzero(to == name)
+                for column, value in zip(out, (int(name), h[rows[mine]], sid[rows[mine]], place[rows[mine]], kind[mine]), strict=True):
+                    column.append(value)
+            kinds = (pa.int32(), longs, longs, longs, pa.list_(pa.int8()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["cell", "h", "sid", "place", "kind"])
 
     def meet(t: pa.Table) -> pa.Table:
-        h, sid, place, sent = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("h", "sid", "place", "sent"))
-        order = np.argsort(h, kind="stable")
-        h, sid, place, sent = h[order], sid[order], place[order], sent[order]
-        same = np.flatnonzero(h[1:] == h[:-1])
-        mine = np.union1d(same, same + 1)
-        mine = mine[~sent[mine]]  # the others were known before
+        h, sid, place, kind = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("h", "sid", "place", "kind"))
+        known = np.flatnonzero(kind == KNOWN_)
+        order = np.flatnonzero(kind != KNOWN_)
+        order = order[np.argsort(h[order], kind="stable")]
+        same = np.flatnonzero(h[order][1:] == h[order][:-1])
+        met = order[np.union1d(same, same + 1)]
+        mine = np.concatenate([known, met[kind[met] == OPEN]])  # what stands for others is among the known
         return pa.Table.from_arrays([pa.array(x[mine], pa.int64()) for x in (h, sid, place)], names=["h", "sid", "place"])
 
-    dealt = durable(one.select("sid", "n", "prefix").mapInArrow(deal, schema))
-    known = dealt.where("cell < 0").select(F.explode(F.arrays_zip("h", "sid", "place")).alias("x")).select("x.h", "x.sid", "x.place")
-    found = dealt.where("cell >= 0").groupBy("cell").applyInArrow(meet, "h long, sid long, place long").unionByName(known)
+    found = one.select("sid", "n", "prefix").mapInArrow(deal, schema).groupBy("cell").applyInArrow(meet, "h long, sid long, place long")
     return found.select("h", "sid", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
 
 
@@ -216,8 +220,8 @@ def linked(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     tokens = durable(in_common(one))
     sizes = tokens.groupBy("h").agg(F.count("*").alias("size"))
     shared = tokens.join(sizes, "h").select("h", "sid", "n", "at", "size")
-    # Centres differ between buckets, so that members far from one centre are near another.
-    centre = shared.groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "sid").alias("r"), "sid", "n", "at")).alias("c"))
+    # One order for all buckets, so that the buckets of a large group of copies name few centres and few pairs.
+    centre = shared.groupBy("h").agg(F.min(F.struct(F.xxhash64("sid").alias("r"), "sid", "n", "at")).alias("c"))
     stars = shared.join(centre.select("h", "c.sid", "c.n", "c.at").toDF("h", "c_sid", "c_n", "c_at"), "h").where(F.col("sid") != F.col("c_sid"))
     ends = (F.least("sid", "c_sid").alias("a"), F.greatest("sid", "c_sid").alias("b"))
     pairs = durable(stars.where(possible("n", "at", "c_n", "c_at")).select(*ends).unionByName(proposed(one.select("sid", "fp"))).distinct())
