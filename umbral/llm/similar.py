@@ -38,7 +38,7 @@ OF, IN = 4, 5
 #: Documents that the pilot reads, and hashes that it may name as frequent.
 PILOT, KNOWN = 5000, 50_000
 #: Hashes of prefixes that one task sorts, and bytes of text that a worker reads at once.
-CELL, SLICE = 4_000_000, 1 << 21
+CELL, SLICE = 1_000_000, 1 << 21
 
 
 def shingle_set(text: bytes | None, width: int = WIDTH, seed: int = 42) -> np.ndarray:
@@ -165,14 +165,15 @@ def proposed(one: DataFrame) -> DataFrame:
 def in_common(one: DataFrame, cell: int = CELL) -> DataFrame:
     """h, sid, n, at: the places of prefixes whose hash other sets have in theirs too; most hashes are of one set only and go no further.
 
-    Hashes travel packed, dealt into cells by their leading bits. Of those that several sets of a batch
+    Hashes travel packed, dealt into cells by their mixed leading bits. Of those that several sets of a batch
     share, which are in common whatever the rest holds, one stands for all: a hash that is everywhere reaches its
     cell once for each batch.
     """
     total = one.agg(F.sum(F.size("prefix"))).first()[0] or 0
     bits = max(0, (max(1, -(-total // cell)) - 1).bit_length())
     longs, schema = pa.list_(pa.int64()), "cell int, h array<long>, sid array<long>, place array<long>, kind array<tinyint>"
-    leading = lambda x: (x.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+    # Mixed first: prefixes favour small hashes.
+    leading = lambda x: (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
     OPEN, STANDS, KNOWN_ = 0, 1, 2
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
