@@ -37,6 +37,8 @@ WIDTH = 5
 OF, IN = 4, 5
 #: Documents that the pilot reads, and hashes that it may name as frequent.
 PILOT, KNOWN = 5000, 50_000
+#: Remainders of texts' tags that are told apart when texts are looked up; the bound of what is broadcast for it.
+REMAINDERS = 1 << 20
 #: Hashes of prefixes that one task sorts, and bytes of text that a worker reads at once.
 CELL, SLICE = 1_000_000, 1 << 21
 
@@ -146,9 +148,12 @@ def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str) -
 
     named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     # One text of each set that is to be compared; texts are smaller than sets of hashes.
-    need = rows.select("sid", "tag").join(named, "sid", "left_semi").groupBy("sid").agg(F.min("tag").alias("tag"))
+    need = durable(rows.select("sid", "tag").join(named, "sid", "left_semi").groupBy("sid").agg(F.min("tag").alias("tag")))
+    # Only texts that may be needed travel: a remainder of the tag is looked up in a table of at most REMAINDERS rows.
+    some = F.broadcast(need.select(F.pmod("tag", F.lit(REMAINDERS)).alias("remainder")).distinct())
     texts = docs.select(tag(F.col(text_col)).alias("tag"), F.col(text_col).cast("binary").alias("text"))
-    found = texts.join(need, "tag").select("sid", "text").dropDuplicates(["sid"])
+    texts = texts.join(some, F.pmod(texts["tag"], F.lit(REMAINDERS)) == some["remainder"], "left_semi")
+    found = texts.join(need, "tag").dropDuplicates(["tag", "sid"]).select("sid", "text")
     ready = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
     return ready.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
