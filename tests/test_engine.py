@@ -201,3 +201,28 @@ def test_streamed_workload(spark, tmp_path):
     query.awaitTermination()
     wanted = rows(engine.run(tables.ranges(spark, [(0, 3), (10, 12)])).select("query_id", "id"))
     assert set(wanted) <= set(map(tuple, seen))
+
+
+def test_primary_to_foreign_key_slots_keep_to_the_range(spark):
+    pk = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "pk int, name string")
+    fk = spark.createDataFrame([(10, 1), (11, 1), (12, 3)], "id int, fk int")
+    for partitioner in ("histogram", "tree", "grouping"):
+        engine = EquiJoin(pk, "pk", fk, "fk", partitioner, "pk_fk")
+        for attribute, qs, qe in (("fk", 1, 1), ("pk", 2, 3), ("id", 11, 12), ("fk", 3, 1)):
+            assert rows(join.matches(engine.slots(attribute, qs, qe)).select("id", "name")) == rows(engine.exact(attribute, qs, qe).select("id", "name"))
+
+
+def test_sealing_keeps_microseconds(spark):
+    df = spark.sql("SELECT 1 AS id, TIMESTAMP '2024-01-02 03:04:05.123456' AS t, TIMESTAMP_NTZ '2024-01-02 03:04:05.000001' AS n, DATE '2024-02-29' AS d, 1.25D AS x, CAST(NULL AS TIMESTAMP) AS e")
+    key = F.lit("0123456789abcdef")
+    assert rows(unseal(seal(df, key, ["id"]), key, df.drop("id").schema)) == rows(df)
+
+
+def test_wide_keys_are_placed_without_listing_values(spark):
+    keys = [0, 5, 10**11, 10**11 - 3, 7 * 10**10, None]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id int, k long")
+    leaves = privtree.leaves([(df, ["k"])], privtree.TreePlan(1, 5, kind="select"))
+    placed = privtree.placed(df, ["k"], leaves).join(leaves, "bin_id")
+    assert sorted(r.id for r in placed.collect()) == [0, 1, 2, 3, 4] and placed.where("k NOT BETWEEN lo_0 AND hi_0").count() == 0
+    gaps = spark.createDataFrame([(0, 0, 3), (1, 10, 10**9)], "bin_id long, lo long, hi long")
+    assert [(r.id, r.bin_id) for r in padding.placed(df, "k", gaps).orderBy("id").collect()] == [(0, 0)]

@@ -60,10 +60,11 @@ def padded_slots(left: DataFrame, left_key: str, right: DataFrame, right_key: st
     return slots.withColumn("is_match", F.coalesce(match & where if where is not None else match, F.lit(False)))
 
 
-def padded_pk_fk(pk: DataFrame, pk_key: str, fk_padded: DataFrame, fk_key: str) -> DataFrame:
-    """A slot for each padded foreign-key row; a match where the row is real and its key exists."""
+def padded_pk_fk(pk: DataFrame, pk_key: str, fk_padded: DataFrame, fk_key: str, where: Column | None = None) -> DataFrame:
+    """A slot for each padded foreign-key row; a match where the row is real, its key exists and `where` holds."""
     out = fk_padded.join(pk.withColumn("__found", F.lit(True)), F.col(fk_key) == F.col(pk_key), "left")
-    return out.withColumn("is_match", F.coalesce(~F.col("is_dummy") & F.col("__found"), F.lit(False))).drop("__found")
+    match = ~F.col("is_dummy") & F.col("__found")
+    return out.withColumn("is_match", F.coalesce(match & where if where is not None else match, F.lit(False))).drop("__found")
 
 
 def matches(slots: DataFrame) -> DataFrame:

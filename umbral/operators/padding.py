@@ -4,9 +4,16 @@ A padded table has bin_id, is_dummy and the original columns, which are null in
 are in no bin.
 """
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Values that bins may cover to be listed one by one; and bins that a worker holds to look wider ranges up.
+LISTED, LOOKED_UP = 50_000_000, 2_000_000
+
 
 def by_value(bins: DataFrame) -> DataFrame:
     """key, bin_id for every value that a bin covers."""
@@ -14,11 +21,36 @@ def by_value(bins: DataFrame) -> DataFrame:
 
 
 def placed(df: DataFrame, key: str, bins: DataFrame) -> DataFrame:
-    """df with the bin_id of its key; an equi-join on the value, so that the planner may pick either side."""
+    """df with the bin_id of its key: an equi-join on the value, so that the planner may pick either side.
+
+    Bins that cover more than LISTED values are looked up in the sorted list of their bounds instead, in Arrow batches.
+    """
+    width, n = bins.agg(F.sum(F.col("hi").cast("double") - F.col("lo") + 1), F.count("*")).first()
+    if (width or 0) > LISTED:
+        if n > LOOKED_UP:
+            raise ValueError(f"{n} bins over {width:.0f} values; at most {LOOKED_UP} bins can be looked up")
+        return looked_up(df, key, bins)
     values = by_value(bins)
     return df.join(values, F.col(key).cast("long") == values["__key"]).drop("__key")
 
 
+def looked_up(df: DataFrame, key: str, bins: DataFrame) -> DataFrame:
+    rows = bins.select("lo", "hi", "bin_id").orderBy("lo").collect()  # at most LOOKED_UP
+    lo, hi, names = (np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else ([], [], [])))
+    kept = df.withColumn("__key", F.col(key).cast("long")).where("__key IS NOT NULL")
+    out = df.schema.names + ["bin_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.columns[-1].to_numpy()
+            at = np.searchsorted(lo, keys, "right") - 1
+            inside = (at >= 0) & (keys <= hi[at])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names[at], pa.int64())], names=out).filter(pa.array(inside))
+
+    schema = df.withColumn("bin_id", F.lit(0).cast("long")).schema
+    return kept.mapInArrow(run, schema) if len(names) else kept.drop("__key").withColumn("bin_id", F.lit(0).cast("long")).limit(0)
+
+
 def placed_by_key(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
     """df with the bin_id of its key, from rows (key, bin_id)."""
     m = members.select(F.col("key").alias("__key"), "bin_id")

@@ -16,6 +16,7 @@ from ..durable import durable
 from ..functions.budget import Budget
 from ..functions.noise import SEED, TGeom, laplace
 from .catalog import overlapping, whole
+from .padding import placed as in_bins
 
 #: Dimensions that a node may split at once.
 MAX_DIMENSIONS = 10
@@ -126,8 +127,10 @@ def leaves(tables: list[tuple[DataFrame, list[str]]], plan: TreePlan, seed: int
 def placed(df: DataFrame, columns: list[str], leaves: DataFrame) -> DataFrame:
     """df with the bin_id of the leaf that its coordinates lie in.
 
-    Joined on the first coordinate's values, then filtered on the others.
+    One coordinate is placed like a key in bins. Of more, the join is on the first one's values, then filtered on the others.
     """
+    if len(columns) == 1:
+        return in_bins(df, columns[0], leaves.select("bin_id", F.col("lo_0").alias("lo"), F.col("hi_0").alias("hi")))
     edges = [c for c in leaves.columns if c.startswith(("lo_", "hi_"))]
     table = leaves.select("bin_id", *edges, F.explode(F.sequence("lo_0", "hi_0")).alias("__d0"))
     other = [whole(c).between(F.col(f"lo_{i}"), F.col(f"hi_{i}")) for i, c in enumerate(columns) if i]

@@ -83,13 +83,12 @@ class EquiJoin:
 
     def slots(self, attribute: str | None = None, qs: int = 0, qe: int = 0) -> DataFrame:
         """The padded join; a range on the key also skips bins outside it."""
+        where = None if attribute is None else F.col(attribute).between(qs, qe)
+        skips = attribute in (self.left_key, self.right_key) and "lo" in self.bins.columns
+        near = lambda side: side.join(catalog.overlapping(self.bins, qs, qe).select("bin_id"), "bin_id", "left_semi") if skips else side
         if self.kind == "pk_fk":
-            return join.padded_pk_fk(self.left, self.left_key, self._side(2), self.right_key)
-        a, b = self._side(1), self._side(2)
-        on_key = attribute in (self.left_key, self.right_key)
-        if on_key and "lo" in self.bins.columns:
-            a = a.join(catalog.overlapping(self.bins, qs, qe).select("bin_id"), "bin_id", "left_semi")
-        return join.padded_slots(a, self.left_key, b, self.right_key, where=None if attribute is None else F.col(attribute).between(qs, qe))
+            return join.padded_pk_fk(self.left, self.left_key, near(self._side(2)), self.right_key, where)
+        return join.padded_slots(near(self._side(1)), self.left_key, self._side(2), self.right_key, where=where)
 
     def sizes(self) -> DataFrame:
         """Slots of the padded join."""

@@ -128,6 +128,25 @@ group_bins AS (
   UNION ALL
   SELECT CAST((SELECT max(bin_id) FROM used) + unnest(range(1, 1 + {shifted(repr(0.28 / 3), '(SELECT delta / 3 FROM unit)', 'e', "'0'")})) AS BIGINT), 'empty', 0, 4 * u, 0, 4 * u FROM unit)"""
 
+def _laplace(scale: str, tag: str, key: str) -> str:
+    u = f"((('0x' || substr(md5('{SEED}|{tag}|' || {key}), 1, 8))::BIGINT + 0.5) / CAST(4294967296 AS DOUBLE) - 0.5)"
+    return f"(CAST(-({scale}) AS DOUBLE) * sign({u}) * ln(CAST(1 AS DOUBLE) - 2 * abs({u})))"
+
+
+#: The adaptive tree over one dimension: halves of what is above the threshold, and its leaves in order.
+TREE = f"""WITH RECURSIVE {NATIONS.replace('ends AS', 'span AS').replace('FROM ends', 'FROM span')},
+sums AS (SELECT v, count(*) FILTER (t = 1) AS c1, count(*) FILTER (t = 2) AS c2 FROM (SELECT lo, unnest(range(lo - 1, hi + 1)) AS v FROM plan) LEFT JOIN keys ON key <= v GROUP BY v),
+bar AS (SELECT 2 / 0.30000000000000004 * ln(2 / delta) AS threshold, 150.0 * ln(2) AS decay FROM plan),
+grown AS (
+  SELECT CAST(0 AS BIGINT) AS depth, lo, hi, TRUE AS open FROM plan
+  UNION ALL
+  SELECT depth + 1, CASE WHEN side = 0 THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN side = 0 THEN (lo + hi) // 2 ELSE hi END, TRUE
+  FROM (SELECT g.*, b.c1 + b.c2 - a.c1 - a.c2 AS n FROM grown AS g JOIN sums AS a ON a.v = g.lo - 1 JOIN sums AS b ON b.v = g.hi) AS g, bar, (VALUES (0), (1)) AS s(side)
+  WHERE hi > lo AND greatest(n - depth * decay, threshold - decay) + {_laplace('150.0', 'p', "lo || ':' || hi")} > threshold),
+ends AS (SELECT g.lo, g.hi, b.c1 - a.c1 AS real1, b.c2 - a.c2 AS real2 FROM grown AS g JOIN sums AS a ON a.v = g.lo - 1 JOIN sums AS b ON b.v = g.hi
+  WHERE NOT EXISTS (SELECT 1 FROM grown AS k WHERE k.depth = g.depth + 1 AND k.lo = g.lo)),
+tree AS (SELECT row_number() OVER (ORDER BY lo) - 1 AS bin_id, * FROM ends)"""
+
 _workload = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(WORKLOAD))
 _nations = "supplier JOIN customer ON s_nationkey = c_nationkey"
 _lo, _hi = NATION_RANGE
@@ -183,4 +202,27 @@ SELECT FALSE AS is_dummy, matches AS n FROM noisy WHERE matches > 0 UNION ALL SE
     "grouped_join_size": f"{GROUPS} SELECT sum(padded1 * padded2)::BIGINT AS slots FROM group_bins",
     "sealed_roundtrip": "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer",
     "noise_tgeom": f"SELECT c_custkey, {shifted('0.26', '1e-6', 't', 'c_custkey::VARCHAR')} AS shifted, {plain('0.26', '1e-6', 't', 'c_custkey::VARCHAR')} AS plain FROM customer",
+    "privtree_leaves": f"""{TREE} SELECT bin_id, lo AS lo_0, hi AS hi_0, real1, real1 + {shifted('0.26', '(SELECT delta FROM plan)', 'l1', 'bin_id::VARCHAR')} AS padded1,
+  real2, real2 + {shifted('0.26', '(SELECT delta FROM plan)', 'l2', 'bin_id::VARCHAR')} AS padded2 FROM tree""",
+    "sealed_roundtrip_orders": "SELECT o_orderkey, o_orderdate + INTERVAL 123456 MICROSECONDS AS stamp, o_totalprice FROM orders",
+    "noise_laplace": f"SELECT c_custkey, round({_laplace('150.0', 'l', 'c_custkey::VARCHAR')}, 6) AS noise FROM customer",
+    "scan_supplier_tbl": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
+    "scan_customer_tbl": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    "scan_synthetic_text": "SELECT c_nationkey AS key, CAST(c_custkey AS INTEGER) AS a1, row_number() OVER (ORDER BY c_custkey) - 1 AS rid FROM customer",
+    "scan_workload": f"SELECT CAST(query_id AS INTEGER) AS query_id, CAST(qs AS BIGINT) AS qs, CAST(qe AS BIGINT) AS qe, 1 AS attribute FROM (VALUES {_workload}) AS w(query_id, qs, qe)",
+    "saved_bins": f"{QUANTITY} SELECT bin_id, real AS rows, padded - real AS dummies FROM bins WHERE padded > 0 AND bin_id < 3",
+    "saved_index": f"{SHARED} SELECT * FROM shared",
+    "saved_join_output": f"SELECT s_suppkey, c_custkey, s_nationkey FROM {_nations}",
+    "box_membership": "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS quantity, l_suppkey FROM lineitem WHERE CAST(l_quantity AS BIGINT) BETWEEN 5 AND 9 AND l_suppkey BETWEEN 3 AND 40",
+    "rows_expanded": "SELECT n_nationkey, n_regionkey FROM nation, LATERAL (SELECT unnest(range(n_regionkey)))",
+    "rows_split": "SELECT s_suppkey, s_acctbal, s_acctbal > 0 AS side FROM supplier",
+    "tree_join_matches": f"SELECT s_suppkey, c_custkey, s_nationkey FROM {_nations}",
+    "grouped_join_matches": f"SELECT s_suppkey, c_custkey, s_nationkey FROM {_nations}",
+    "tree_pk_fk_matches": "SELECT c_custkey, c_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "grouped_pk_fk_matches": "SELECT c_custkey, c_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "padded_pk_fk_select_join": f"SELECT c_custkey, c_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey BETWEEN {_lo} AND {_hi}",
+    "tree_select_join_matches": f"SELECT s_suppkey, c_custkey, s_nationkey FROM {_nations} WHERE c_custkey BETWEEN {CUSTOMER_RANGE[0]} AND {CUSTOMER_RANGE[1]}",
+    "tree_routed_rows": "SELECT c_nationkey AS key, count(*) AS n, TRUE AS inside FROM customer GROUP BY c_nationkey",
+    "streamed_range_select": f"""SELECT query_id, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem
+JOIN (VALUES {', '.join(f'({i}, {a}, {b})' for i, (a, b) in enumerate(QUANTITY_RANGES))}) AS w(query_id, qs, qe) ON CAST(l_quantity AS BIGINT) BETWEEN qs AND qe""",
 }

@@ -1,13 +1,18 @@
 """Registered queries: every operator on the tables of a scale factor, with explicit column names."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.budget import Budget, HistogramPlan
-from ..functions.noise import TGeom
+from ..durable import work_folder
+from ..functions.noise import TGeom, laplace
 from ..functions.sealing import seal, unseal
 from ..operators import catalog, grouping, htree, join, padding, privtree, select
+from ..sources import sinks, tables
 from ..sources.tables import parquet, ranges
+from ..streaming.replay import answered
 
 #: The workload of range queries on o_custkey: inside, at and outside the domain, and empty.
 WORKLOAD = [(0, 9), (10, 30), (-5, 3), (140, 160), (25, 25), (60, 20), (-20, -1), (100, 2_000_000_000)]
@@ -271,6 +276,153 @@ def noise_tgeom(spark, d):
     return parquet(spark, d, "customer").select("c_custkey", noise.shifted("t", F.col("c_custkey")).alias("shifted"), noise.plain("t", F.col("c_custkey")).alias("plain"))
 
 
+def sealed_roundtrip_orders(spark, d):
+    """Timestamps keep all their digits."""
+    df = parquet(spark, d, "orders").select("o_orderkey", (F.col("o_orderdate") + F.expr("make_interval(0, 0, 0, 0, 0, 0, 0.123456)")).alias("stamp"), "o_totalprice")
+    key = F.lit("0123456789abcdef")
+    return unseal(seal(df, key, ["o_orderkey"]), key, df.drop("o_orderkey").schema)
+
+
+def noise_laplace(spark, d):
+    return parquet(spark, d, "customer").select("c_custkey", F.round(laplace(150.0, "l", F.col("c_custkey")), 6).alias("noise"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _as_tbl(df: DataFrame, name: str) -> str:
+    """The table as a |-delimited file; columns that df lacks are empty."""
+    path = _folder(df.sparkSession, name)
+    names = [c.split()[0] for c in tables.TBL[name].split(", ")]
+    line = F.concat_ws("|", *[F.col(c).cast("string") if c in df.columns else F.lit("") for c in names], F.lit(""))
+    df.select(line.alias("value")).write.text(path)
+    return path
+
+
+def scan_supplier_tbl(spark, d):
+    path = _as_tbl(parquet(spark, d, "supplier"), "supplier")
+    return tables.tbl(spark, path, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+
+
+def scan_customer_tbl(spark, d):
+    path = _as_tbl(parquet(spark, d, "customer"), "customer")
+    return tables.tbl(spark, path, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+def scan_synthetic_text(spark, d):
+    """Customers as a file of numbers under a header, read again with row numbers."""
+    rows, path = _customer(spark, d), _folder(spark, "synthetic")
+    head = spark.createDataFrame([(-2, f"{rows.count()} 2"), (-1, "")], "at long, value string")
+    lines = head.unionByName(rows.select(F.col("c_custkey").alias("at"), F.concat_ws(" ", "c_nationkey", "c_custkey").alias("value")))
+    tables.write_lines(lines.orderBy("at").select("value"), path)
+    return tables.synthetic(spark, path)
+
+
+def scan_workload(spark, d):
+    path = _folder(spark, "workload")
+    lines = [f"{len(WORKLOAD)} 1", *(f"{a} {b}" for a, b in WORKLOAD)]
+    tables.write_lines(spark.createDataFrame(list(enumerate(lines)), "at int, value string").orderBy("at").select("value"), path)
+    queries, attribute = tables.workload(spark, path)
+    return queries.withColumn("attribute", F.lit(attribute))
+
+
+def saved_bins(spark, d):
+    """Rows and dummies of three bins that were written and read again."""
+    df, bins = _quantities(spark, d)
+    path = _folder(spark, "bins")
+    sinks.write_bins(padding.padded(padding.placed(df, "quantity", bins), bins, F.col("padded") - F.col("real")), path)
+    return sinks.read_bins(spark, path, [0, 1, 2]).groupBy("bin_id").agg(F.sum((~F.col("is_dummy")).cast("long")).alias("rows"), F.sum(F.col("is_dummy").cast("long")).alias("dummies"))
+
+
+def saved_index(spark, d):
+    path = _folder(spark, "index")
+    sinks.write_index(_shared(spark, d), path)
+    return sinks.read_index(spark, path)
+
+
+def saved_join_output(spark, d):
+    path = _folder(spark, "output")
+    sinks.write_output(equi_join_supplier_customer(spark, d), path)
+    return spark.read.parquet(path)
+
+
+def box_membership(spark, d):
+    df = parquet(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("quantity"), "l_suppkey")
+    return privtree.in_box(df, ["quantity", "l_suppkey"], ((5, 9), (3, 40)))
+
+
+def rows_expanded(spark, d):
+    return padding.expanded(parquet(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_regionkey")
+
+
+def rows_split(spark, d):
+    yes, no = padding.split(parquet(spark, d, "supplier").select("s_suppkey", "s_acctbal"), F.col("s_acctbal") > 0)
+    return yes.withColumn("side", F.lit(True)).unionByName(no.withColumn("side", F.lit(False)))
+
+
+def _matches(spark: SparkSession, d: str, partitioner: str) -> DataFrame:
+    from .engine import EquiJoin
+
+    a, ak, b, bk = _nations(spark, d)
+    return join.matches(EquiJoin(a.select("s_suppkey", ak), ak, b.select("c_custkey", bk), bk, partitioner).slots()).select("s_suppkey", "c_custkey", "s_nationkey")
+
+
+def tree_join_matches(spark, d):
+    return _matches(spark, d, "tree")
+
+
+def grouped_join_matches(spark, d):
+    return _matches(spark, d, "grouping")
+
+
+def _pk_fk_matches(spark: SparkSession, d: str, partitioner: str, *within) -> DataFrame:
+    from .engine import EquiJoin
+
+    nation, customer = parquet(spark, d, "nation").select("n_nationkey", "n_name"), parquet(spark, d, "customer").select("c_custkey", "c_nationkey")
+    engine = EquiJoin(nation, "n_nationkey", customer, "c_nationkey", partitioner, "pk_fk")
+    return join.matches(engine.slots(*within)).select("c_custkey", "c_nationkey", "n_name")
+
+
+def tree_pk_fk_matches(spark, d):
+    return _pk_fk_matches(spark, d, "tree")
+
+
+def grouped_pk_fk_matches(spark, d):
+    return _pk_fk_matches(spark, d, "grouping")
+
+
+def padded_pk_fk_select_join(spark, d):
+    return _pk_fk_matches(spark, d, "histogram", "c_nationkey", *NATION_RANGE)
+
+
+def tree_select_join_matches(spark, d):
+    from .engine import TreeSelectJoin
+
+    a, ak, b, bk = _nations(spark, d)
+    slots = TreeSelectJoin(a.select("s_suppkey", ak), ak, b.select(bk, "c_custkey"), bk, "c_custkey").slots(*CUSTOMER_RANGE)
+    return join.matches(slots).select("s_suppkey", "c_custkey", "s_nationkey")
+
+
+def tree_routed_rows(spark, d):
+    """Rows of each key after routing to leaves, and whether all lie within their leaf."""
+    a, ak, b, bk = _nations(spark, d)
+    leaves = privtree.leaves([(a, [ak]), (b, [bk])], privtree.TreePlan(1, a.count(), b.count()))
+    rows = privtree.placed(b.select(bk), [bk], leaves).join(leaves, "bin_id")
+    return rows.groupBy(F.col(bk).alias("key")).agg(F.count("*").alias("n"), F.min(F.col(bk).between(F.col("lo_0"), F.col("hi_0"))).alias("inside"))
+
+
+def streamed_range_select(spark, d):
+    """The workload as a stream, answered with padded bins, of which the rows that qualify are kept."""
+    df, bins = _quantities(spark, d)
+    path = _folder(spark, "stream")
+    workload = ranges(spark, QUANTITY_RANGES)
+    workload.write.parquet(f"{path}/in")
+    arriving = spark.readStream.schema(workload.schema).parquet(f"{path}/in")
+    answered(arriving, df, "quantity", bins, lambda out, n: out.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), f"{path}/checkpoint").awaitTermination()
+    return select.refined(spark.read.parquet(f"{path}/out"), "quantity", workload).select("query_id", "l_orderkey", "l_linenumber", "quantity")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -279,5 +431,7 @@ QUERIES = {
         key_multiplicity_list, htree_buckets_shared, htree_buckets_per_table, bins_overlapping_query, bins_missed_by_query, response_blowup, padded_bucket_sizes, padded_range_select,
         bucket_pair_overlap, padded_join_sizes, padded_join_slots, padded_pk_fk_join, join_compaction_size, compacted_join, dense_sparse_grouping, dense_sparse_bins, grouped_join_size,
         privtree_leaves, privtree_leaves_2d, tree_select_join, sealed_roundtrip, noise_tgeom,
+        sealed_roundtrip_orders, noise_laplace, scan_supplier_tbl, scan_customer_tbl, scan_synthetic_text, scan_workload, saved_bins, saved_index, saved_join_output, box_membership, rows_expanded, rows_split,
+        tree_join_matches, grouped_join_matches, tree_pk_fk_matches, grouped_pk_fk_matches, padded_pk_fk_select_join, tree_select_join_matches, tree_routed_rows, streamed_range_select,
     )
 }

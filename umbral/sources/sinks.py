@@ -26,3 +26,8 @@ def write_index(bins: DataFrame, path: str) -> None:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_output(rows: DataFrame, path: str) -> None:
+    """Result rows, appended to what earlier queries wrote there."""
+    rows.write.mode("append").parquet(path)

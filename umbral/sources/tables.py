@@ -19,6 +19,11 @@ def tbl(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.csv(path, sep="|", schema=TBL[name], mode="PERMISSIVE")
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One text column as one file, in the order of the rows: what has a header has to be one file."""
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
 def _numbers(spark: SparkSession, path: str) -> tuple[DataFrame, list[int]]:
     """Lines of numbers with their place, and the header's numbers."""
     lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
