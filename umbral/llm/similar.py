@@ -10,8 +10,8 @@ run. Texts of similarity 4/5 or more are linked, and every such link is found:
 * sets are put in one global order, and two that are linked share a hash of their prefixes, the first
   n - ceil(4 n / 5) + 1 of each. Hashes that a pilot saw often come last in that order, which keeps
   buckets of one hash small; what the pilot saw decides speed only, not results;
-* sizes and places within the prefixes rule out pairs that cannot be similar; all others are
-  compared by their whole sets. No bucket is capped.
+* sizes, places within the prefixes, and counts of the hashes by their leading byte rule out pairs that
+  cannot be similar; all others are compared by their whole sets. No bucket is capped.
 
 First, what ball hashing proposes is compared, and each bucket with one of its members, which joins large
 groups of copies in O(n) comparisons. Then what is left are pairs of a bucket that lie in different components so far, and all of
@@ -107,25 +107,31 @@ def slices(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[pa.Reco
             yield whole.slice(at, step)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many of the hashes have each leading byte, up to 255."""
+    return np.minimum(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For each row: id_col, tag (of the text), sid (of its set), fp (its SimHash), n (size of the set) and prefix."""
+    """For each row: id_col, tag (of the text), sid (of its set), fp (its SimHash), n (size of the set), prefix and sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, id_col, text_col))  # at most KNOWN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for b in slices(batches, 2):
-            sid, fp, n, first = [], [], [], []
+            sid, fp, n, first, counts = [], [], [], [], []
             for x in b.column(2):
                 hashes = shingle_set(x.as_py())
                 sid.append(set_id(hashes))
                 fp.append(set_fingerprint(hashes))
                 n.append(len(hashes))
                 first.append(prefix(hashes, *known).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sid, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=[id_col, "tag", "sid", "fp", "n", "prefix"])
+                counts.append(sketch(hashes))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sid, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=[id_col, "tag", "sid", "fp", "n", "prefix", "sketch"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     text = F.col(text_col)
-    return docs.select(id_col, tag(text).alias("tag"), text.cast("binary").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, tag long, sid long, fp long, n int, prefix array<long>")
+    return docs.select(id_col, tag(text).alias("tag"), text.cast("binary").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, tag long, sid long, fp long, n int, prefix array<long>, sketch binary")
 
 
 def possible(n_a: str, at_a: str, n_b: str, at_b: str) -> Column:
@@ -134,6 +140,20 @@ def possible(n_a: str, at_a: str, n_b: str, at_b: str) -> Column:
     return F.least(n_a - at_a, n_b - at_b) * (OF + IN) >= (n_a + n_b) * OF
 
 
+def plausible(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """Those of the pairs a, b whose sketches allow the similarity: sets share at most the lesser count of each leading byte."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("x", "y"))
+            most = np.where((x == 255) & (y == 255), np.iinfo(np.int32).max // 256, np.minimum(x, y)).sum(1, dtype=np.int64)
+            total = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
+            yield b.select(["a", "b"]).filter(pa.array(most * (OF + IN) >= total * OF))
+
+    side = lambda end, name: one.select(F.col("sid").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(name))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(keep, "a long, b long")
+
+
 def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """a, b: those of the pairs of set ids whose sets are similar."""
 
@@ -222,7 +242,7 @@ def in_common(one: DataFrame, cell: int = CELL) -> DataFrame:
 
 def linked(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """node, root: components of the sets of rows; roots are left out."""
-    one = durable(rows.where("n >= 4").groupBy("sid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))  # smaller sets are similar to equal ones only
+    one = durable(rows.where("n >= 4").groupBy("sid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))  # smaller sets are similar to equal ones only
     tokens = durable(in_common(one))
     sizes = tokens.groupBy("h").agg(F.count("*").alias("size"))
     shared = tokens.join(sizes, "h").select("h", "sid", "n", "at", "size")
@@ -231,7 +251,7 @@ def linked(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     stars = shared.join(centre.select("h", "c.sid", "c.n", "c.at").toDF("h", "c_sid", "c_n", "c_at"), "h").where(F.col("sid") != F.col("c_sid"))
     ends = (F.least("sid", "c_sid").alias("a"), F.greatest("sid", "c_sid").alias("b"))
     pairs = durable(stars.where(possible("n", "at", "c_n", "c_at")).select(*ends).unionByName(proposed(one.select("sid", "fp"))).distinct())
-    links = durable(similar(pairs, rows, docs, text_col))
+    links = durable(similar(durable(plausible(pairs, one)), rows, docs, text_col))
     root = components(links)
 
     # In buckets of two sets, and those of one component, nothing is left to compare.
@@ -242,7 +262,7 @@ def linked(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     left = open_.where("root <> main").select("h", "sid", "n", "at", "root").toDF("h", "l_sid", "l_n", "l_at", "l_root")
     rest = left.join(open_, "h").where("l_root <> root AND (root = main OR l_sid < sid)").where(possible("l_n", "l_at", "n", "at"))
     rest = rest.select(F.least("l_sid", "sid").alias("a"), F.greatest("l_sid", "sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = similar(durable(rest), rows, docs, text_col)
+    more = similar(durable(plausible(rest, one)), rows, docs, text_col)
     return components(links.unionByName(more))
 
 
