@@ -227,10 +227,12 @@ def first_of_groups(docs: DataFrame, found: DataFrame, id_col: str, text_col: st
     """docs with one row of each group of found (id_col, tag, root): that of the smallest id, then tag. Rows without an id come last."""
     order = F.struct(F.col(id_col).isNull().alias("lost"), F.col(id_col).alias("id"), "tag")
     first = found.groupBy("root").agg(F.min(order).alias("k"))
-    stay = first.select(F.col("k.id").alias("__id"), F.col("k.tag").alias("__stay"))
-    tagged = docs.withColumn("__tag", tag(F.col(text_col)))
-    kept = tagged.join(stay, tagged[id_col].eqNullSafe(stay["__id"]) & tagged["__tag"].eqNullSafe(stay["__stay"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__tag"]).drop("__tag")
+    # Keys without nulls, the same for the join and for what drops repeated rows: texts are shuffled once.
+    keys = ["__lost", "__id", "__tag"]
+    named = lambda lost, i, t: (lost.alias("__lost"), F.coalesce(i.cast("string"), F.lit("")).alias("__id"), t.alias("__tag"))
+    stay = first.select(*named(F.col("k.lost"), F.col("k.id"), F.col("k.tag")))
+    own = F.col(id_col)
+    return docs.select("*", *named(own.isNull(), own, tag(F.col(text_col)))).join(stay, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
