@@ -34,11 +34,15 @@ def durable(df: DataFrame, eager: bool = True) -> DataFrame:
 BATCH_ROWS = 1_000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Sets the session's rows per Arrow batch to BATCH_ROWS, unless it was set before."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, str(BATCH_ROWS))
+def prepare(spark: SparkSession) -> None:
+    """Sets, where the session does not say otherwise, BATCH_ROWS as rows of an Arrow batch, and that a query's shuffle files go when it ends.
+
+    Else shuffles before a checkpoint, which nothing reads any more, stay on disk until the driver collects garbage. A
+    stage that should need them again makes them again.
+    """
+    for name, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)), ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")):
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
 
 
 def plain(value):
@@ -64,3 +68,6 @@ def rebuilt(value, *classes: type):
     if isinstance(value, list | tuple) and len(value) <= FEW:
         return type(value)(rebuilt(v, *classes) for v in value)
     return value
+
+
+small_batches = prepare
