@@ -2,8 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 as the next one's docs. All but the last return the columns of documents. Rows of null or clashing
-columns are treated as each operator says. Stages set the session's Arrow batches to fewer rows, unless it says
-how many, as batches of whole texts would fill an executor's memory.
+columns are treated as each operator says. Stages set the session's Arrow batches to fewer rows, as batches of whole
+texts would fill an executor's memory, and let shuffle files go with the query that wrote them, unless it says otherwise.
 """
 
 import uuid
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbral.llm import bpe, decontam, langid, secrets, similar
-from umbral.llm.common import small_batches, table, work_folder
+from umbral.llm.common import prepare, table, work_folder
 from umbral.llm.queries import learns
 
 
@@ -24,7 +24,7 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in none of the learned languages go; lang stays the given label."""
-    small_batches(spark)
+    prepare(spark)
     models = langid.fit(docs, learns(5, held=0))
     return langid.accepted(docs, models)
 
@@ -34,25 +34,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     SimHash balls propose candidates, and an exact join finds the links that three bits miss.
     """
-    small_batches(spark)
+    prepare(spark)
     return similar.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items are cut out; documents that are mostly such passages go."""
-    small_batches(spark)
+    prepare(spark)
     return with_length(decontam.remove(docs, table(spark, sf_dir, "benchmark")))
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials that few owners hold are masked."""
-    small_batches(spark)
+    prepare(spark)
     return with_length(secrets.redact(docs))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, with their number."""
-    small_batches(spark)
+    prepare(spark)
     ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
