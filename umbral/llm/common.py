@@ -68,6 +68,3 @@ def rebuilt(value, *classes: type):
     if isinstance(value, list | tuple) and len(value) <= FEW:
         return type(value)(rebuilt(v, *classes) for v in value)
     return value
-
-
-small_batches = prepare
