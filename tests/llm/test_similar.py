@@ -62,3 +62,48 @@ def test_hashes_in_common(spark):
     want = sorted((h, i, 9, p.index(h)) for i, _, p in rows for h in p if len(holders[h]) > 1)
     for cell in (similar.CELL, 50):
         assert sorted(map(tuple, similar.in_common(one, cell).collect())) == want
+
+
+def shifted(count=70, words=60):
+    """Texts around one base, each with a run of new words: most pairs are near the limit, few are linked."""
+    rng = random.Random(3)
+    base, out = [f"b{i}" for i in range(words)], []
+    for _ in range(count):
+        text, at, n = list(base), rng.randrange(words - 6), rng.randrange(1, 7)
+        text[at : at + n] = [f"x{rng.randrange(9999)}" for _ in range(n)]
+        out.append(" ".join(text))
+    return dict(enumerate([*out, None, "", base[0]]))
+
+
+@pytest.mark.parametrize("block", [similar.BLOCK, 500])
+def test_families_in_blocks_give_what_brute_force_gives(spark, block):
+    texts = shifted()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = similar.durable(similar.sets(docs, "doc_id", "text"))
+    root = {r.node: r.root for r in similar.linked(rows, docs, "text", block).collect()}
+    found = {r.doc_id: root.get(r.sid, r.sid) for r in rows.collect()}
+    want = similar.brute_force(texts)
+    assert 1 < len(set(want.values())) < len(texts)
+    together = lambda of: {frozenset(i for i in of if of[i] == r) for r in of.values()}
+    assert together(found) == together(want)
+
+
+def test_blocks_and_pairs_give_the_same_links(spark, monkeypatch):
+    docs = spark.createDataFrame(list(shifted().items()), "doc_id long, text string")
+    kept = {r.doc_id for r in similar.keep_one(docs).collect()}
+    real = similar.families
+    monkeypatch.setattr(similar, "families", lambda open_, block: real(open_, block).withColumn("dense", similar.F.lit(False)))
+    assert {r.doc_id for r in similar.keep_one(docs).collect()} == kept
+
+
+def test_among_has_every_similar_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 40).astype(np.uint64)
+    sets = {i - 20: np.unique(np.concatenate([base[rng.random(40) < 0.93], rng.integers(0, 1 << 60, rng.integers(0, 5)).astype(np.uint64)])) for i in range(40)}
+    alike = lambda a, b: len(np.intersect1d(a, b)) * 5 >= len(np.union1d(a, b)) * 4
+    x, y = ({i: s for i, s in sets.items() if (i % 2 == 0) is even} for even in (True, False))
+    for left, right in ((sets, sets), (x, y), (x, {}), ({}, y)):
+        want = {(min(i, j), max(i, j)) for i in left for j in right if i != j and alike(sets[i], sets[j])}
+        assert set(map(tuple, similar.among(left, right).tolist())) == want

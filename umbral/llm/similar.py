@@ -17,6 +17,10 @@ First, what ball hashing proposes is compared, and each bucket with one of its m
 groups of copies in O(n) comparisons. Then what is left are pairs of a bucket that lie in different components so far, and all of
 these are compared. Pairs within one component need no comparison: they cannot change it.
 
+Buckets that have sets in common are a family. Where the pairs of its buckets outnumber the copies of sets that
+blocks need, a family is compared in blocks: each pair of blocks meets in one task, which gives a forest of the links it
+finds, so no pairs are made as rows. Other families are large and their buckets small; their pairs are compared one by one.
+
 Null and empty texts have the empty set and are copies of each other. Empty tables give empty results.
 """
 
@@ -29,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .simhash import components, first_of_groups, tag
+from .simhash import components, first_of_groups, forest, tag
 from .simhash import links as ball_links
 
 WIDTH = 5
@@ -41,6 +45,8 @@ PILOT, KNOWN = 5000, 50_000
 REMAINDERS = 1 << 20
 #: Hashes of prefixes that one task sorts, and bytes of text that a worker reads at once.
 CELL, SLICE = 1_000_000, 1 << 21
+#: Hashes of a block of sets, of which two meet in one task.
+BLOCK = 1 << 18
 
 
 def shingle_set(text: bytes | None, width: int = WIDTH, seed: int = 42) -> np.ndarray:
@@ -154,6 +160,17 @@ def plausible(pairs: DataFrame, one: DataFrame) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(keep, "a long, b long")
 
 
+def texts_of(sids: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """sid, text: one text of each of the sets."""
+    # Texts are smaller than sets of hashes.
+    need = durable(rows.select("sid", "tag").join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("tag").alias("tag")))
+    # Only texts that may be needed travel: a remainder of the tag is looked up in a table of at most REMAINDERS rows.
+    some = F.broadcast(need.select(F.pmod("tag", F.lit(REMAINDERS)).alias("remainder")).distinct())
+    texts = docs.select(tag(F.col(text_col)).alias("tag"), F.col(text_col).cast("binary").alias("text"))
+    texts = texts.join(some, F.pmod(texts["tag"], F.lit(REMAINDERS)) == some["remainder"], "left_semi")
+    return texts.join(need, "tag").dropDuplicates(["tag", "sid"]).select("sid", "text")
+
+
 def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """a, b: those of the pairs of set ids whose sets are similar."""
 
@@ -166,18 +183,73 @@ def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str) -
                 keep.append(both * (OF + IN) >= (len(x) + len(y)) * OF)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    # One text of each set that is to be compared; texts are smaller than sets of hashes.
-    need = durable(rows.select("sid", "tag").join(named, "sid", "left_semi").groupBy("sid").agg(F.min("tag").alias("tag")))
-    # Only texts that may be needed travel: a remainder of the tag is looked up in a table of at most REMAINDERS rows.
-    some = F.broadcast(need.select(F.pmod("tag", F.lit(REMAINDERS)).alias("remainder")).distinct())
-    texts = docs.select(tag(F.col(text_col)).alias("tag"), F.col(text_col).cast("binary").alias("text"))
-    texts = texts.join(some, F.pmod(texts["tag"], F.lit(REMAINDERS)) == some["remainder"], "left_semi")
-    found = texts.join(need, "tag").dropDuplicates(["tag", "sid"]).select("sid", "text")
+    found = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), rows, docs, text_col)
     ready = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
     return ready.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def among(x: dict[int, np.ndarray], y: dict[int, np.ndarray]) -> np.ndarray:
+    """Pairs of ids, the lesser first, of similar sets of x and y (distinct hashes, none empty)."""
+    ids = sorted(y, key=lambda i: len(y[i]))
+    if not x or not ids:
+        return np.zeros((0, 2), np.int64)
+    names, n = np.array(ids, np.int64), np.array([len(y[i]) for i in ids])
+    ends = np.concatenate([[0], np.cumsum(n)])
+    distinct, code = np.unique(np.concatenate([y[i] for i in ids]), return_inverse=True)
+    mine, found = np.zeros(len(distinct), bool), [np.zeros((0, 2), np.int64)]
+    for i, hashes in x.items():
+        # Sets of other sizes cannot be similar.
+        lo, hi = np.searchsorted(n, -(-len(hashes) * OF // IN)), np.searchsorted(n, len(hashes) * IN // OF, "right")
+        if lo == hi:
+            continue
+        at = np.minimum(np.searchsorted(distinct, hashes), len(distinct) - 1)
+        at = at[distinct[at] == hashes]
+        mine[at] = True
+        both = np.add.reduceat(mine[code[ends[lo] : ends[hi]]], ends[lo:hi] - ends[lo], dtype=np.int64)
+        mine[at] = False
+        mates = names[lo:hi][(both * (OF + IN) >= (len(hashes) + n[lo:hi]) * OF) & (names[lo:hi] != i)]
+        found.append(np.column_stack([np.minimum(mates, i), np.maximum(mates, i)]))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def in_blocks(members: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, block: int = BLOCK) -> DataFrame:
+    """a, b: links that connect what similar sets of one family connect; members has family, sid, n and parts (blocks of the family)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py()).tobytes() for x in b.column(1)], pa.binary())], names=["sid", "hashes"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        sides: dict[int, tuple[dict, dict]] = {}
+        for family, part, lo, sid, hashes in zip(*(t.column(c) for c in ("family", "part", "lo", "sid", "hashes")), strict=True):
+            side = sides.setdefault(family.as_py(), ({}, {}))[part.as_py() != lo.as_py()]
+            side[sid.as_py()] = np.frombuffer(hashes.as_py(), np.uint64)
+        inner = t.column("lo")[0] == t.column("hi")[0]
+        pairs = [among(x, x if inner else y) for x, y in sides.values()]
+        node, root = forest(np.concatenate(pairs))
+        return pa.Table.from_arrays([pa.array(root, pa.int64()), pa.array(node, pa.int64())], names=["a", "b"])
+
+    packed = texts_of(members.select("sid").distinct(), rows, docs, text_col).mapInArrow(pack, "sid long, hashes binary")
+    # Families of one block share cells.
+    cells = max(1, -(-(members.agg(F.sum("n")).first()[0] or 0) // block))
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("sid"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cell = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("family"), F.lit(cells))).otherwise(F.col("family"))
+    dealt = dealt.select("family", "sid", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), cell.alias("cell"))
+    return dealt.join(packed, "sid").groupBy("cell", "lo", "hi").applyInArrow(meet, "a long, b long")
+
+
+def families(open_: DataFrame, block: int = BLOCK) -> DataFrame:
+    """sid, family, n, parts and dense (whether it is compared in blocks), of the sets in open_ (h, sid, n, root, main)."""
+    head = open_.groupBy("h").agg(F.min("sid").alias("head"))
+    root = components(open_.join(head, "h").select(F.col("head").alias("a"), F.col("sid").alias("b")))
+    members = open_.groupBy("sid").agg(F.first("n").alias("n")).join(root, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("family"))
+    # Pairs that a join of the buckets would make, and copies of sets that blocks need.
+    joined = open_.join(members.select("sid", "family"), "sid").groupBy("h", "family").agg((F.count("*") * F.sum((F.col("root") != F.col("main")).cast("long"))).alias("made"))
+    size = members.groupBy("family").agg(F.count("*").alias("held"), F.ceil(F.sum("n") / block).alias("parts"))
+    dense = size.join(joined.groupBy("family").agg(F.sum("made").alias("made")), "family").select("family", "parts", (F.col("held") * F.col("parts") <= F.col("made")).alias("dense"))
+    return members.join(dense, "family").select("sid", "family", "n", "parts", "dense")
+
+
 def proposed(one: DataFrame) -> DataFrame:
     """a, b: pairs of sets that ball hashing brings together; sets of one fingerprint each meet the first of them."""
     heads = durable(one.groupBy("fp").agg(F.min("sid").alias("head")))
@@ -240,7 +312,7 @@ def in_common(one: DataFrame, cell: int = CELL) -> DataFrame:
     return found.select("h", "sid", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
 
 
-def linked(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+def linked(rows: DataFrame, docs: DataFrame, text_col: str, block: int = BLOCK) -> DataFrame:
     """node, root: components of the sets of rows; roots are left out."""
     one = durable(rows.where("n >= 4").groupBy("sid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))  # smaller sets are similar to equal ones only
     tokens = durable(in_common(one))
@@ -259,11 +331,14 @@ def linked(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     main = label.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("roots"))
     main = main.where("roots > 1").select("h", F.col("top.root").alias("main"))
     open_ = durable(label.join(main, "h"))
+    family = durable(families(open_, block))
+    blocks = in_blocks(family.where("dense"), rows, docs, text_col, block)
+    open_ = open_.join(family.where("NOT dense").select("sid"), "sid", "left_semi")
     left = open_.where("root <> main").select("h", "sid", "n", "at", "root").toDF("h", "l_sid", "l_n", "l_at", "l_root")
     rest = left.join(open_, "h").where("l_root <> root AND (root = main OR l_sid < sid)").where(possible("l_n", "l_at", "n", "at"))
     rest = rest.select(F.least("l_sid", "sid").alias("a"), F.greatest("l_sid", "sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = similar(durable(plausible(rest, one)), rows, docs, text_col)
-    return components(links.unionByName(more))
+    return components(links.unionByName(durable(blocks)).unionByName(more))
 
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
