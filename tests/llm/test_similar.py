@@ -107,3 +107,18 @@ def test_among_has_every_similar_pair():
     for left, right in ((sets, sets), (x, y), (x, {}), ({}, y)):
         want = {(min(i, j), max(i, j)) for i in left for j in right if i != j and alike(sets[i], sets[j])}
         assert set(map(tuple, similar.among(left, right).tolist())) == want
+
+
+def test_sketches_meet_in_blocks_of_buckets(spark):
+    rng = random.Random(8)
+    sets = {i - 30: similar.shingle_set(" ".join(f"w{rng.randrange(3)}" for _ in range(rng.randrange(12, 30))).encode(), 2) for i in range(60)}
+    rows = [(h, i, len(s), 0, i % 4) for i, s in sets.items() for h in (1, 2 + i % 3)]
+    open_ = spark.createDataFrame(rows, "h long, sid long, n int, at int, root long")
+    one = spark.createDataFrame([(i, similar.sketch(s)) for i, s in sets.items()], "sid long, sketch binary")
+    may = lambda a, b: min(len(a), len(b)) * 9 >= (len(a) + len(b)) * 4
+    bytes_of = lambda s: similar.np.frombuffer(similar.sketch(s), "u1").astype(int)
+    close = lambda a, b: similar.np.minimum(bytes_of(a), bytes_of(b)).sum() * 9 >= (len(a) + len(b)) * 4
+    want = sorted((i, j) for i in sets for j in sets if i < j and i % 4 != j % 4 and may(sets[i], sets[j]) and close(sets[i], sets[j]))
+    assert want
+    for block in (similar.BUCKET, 7):
+        assert sorted(map(tuple, similar.in_buckets(open_, one, block).distinct().collect())) == want

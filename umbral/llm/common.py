@@ -1,5 +1,6 @@
 """Small helpers that several operators share."""
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,11 @@ def prepare(spark: SparkSession) -> None:
     """Sets, where the session does not say otherwise, BATCH_ROWS as rows of an Arrow batch, and that a query's shuffle files go when it ends.
 
     Else shuffles before a checkpoint, which nothing reads any more, stay on disk until the driver collects garbage. A
-    stage that should need them again makes them again.
+    stage that should need them again makes them again. What earlier stages left in the driver, plans and
+    compiled code most of all, is given back first.
     """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     for name, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)), ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")):
         if spark.conf.get(name, None) is None:
             spark.conf.set(name, value)

@@ -19,7 +19,8 @@ these are compared. Pairs within one component need no comparison: they cannot c
 
 Buckets that have sets in common are a family. Where the pairs of its buckets outnumber the copies of sets that
 blocks need, a family is compared in blocks: each pair of blocks meets in one task, which gives a forest of the links it
-finds, so no pairs are made as rows. Other families are large and their buckets small; their pairs are compared one by one.
+finds, so no pairs are made as rows. Other families are large and their buckets small; sketches meet bucket by bucket
+inside tasks, and only pairs that these allow are made as rows and compared by their whole sets.
 
 Null and empty texts have the empty set and are copies of each other. Empty tables give empty results.
 """
@@ -47,6 +48,8 @@ REMAINDERS = 1 << 20
 CELL, SLICE = 1_000_000, 1 << 21
 #: Hashes of a block of sets, of which two meet in one task.
 BLOCK = 1 << 18
+#: Rows of a block of a bucket, of which two meet in one task.
+BUCKET = 4096
 
 
 def shingle_set(text: bytes | None, width: int = WIDTH, seed: int = 42) -> np.ndarray:
@@ -88,10 +91,9 @@ def frequent(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, n
     share = int(min(1.0, PILOT / max(1, docs.count())) * (1 << 20))
     drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 20)) < share)
     often = drawn.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    rows = often.orderBy(F.desc("n"), "h").limit(KNOWN).collect()
-    known = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    known = often.orderBy(F.desc("n"), "h").limit(KNOWN).select("h").toArrow().column("h").to_numpy().view(np.uint64)
     order = np.argsort(known)
-    return known[order], (len(rows) - np.arange(len(rows)))[order]
+    return known[order], (len(known) - np.arange(len(known)))[order]
 
 
 def prefix(hashes: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -146,15 +148,51 @@ def possible(n_a: str, at_a: str, n_b: str, at_b: str) -> Column:
     return F.least(n_a - at_a, n_b - at_b) * (OF + IN) >= (n_a + n_b) * OF
 
 
+def alike(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether sketches allow the similarity of sets of so many hashes in total: sets share at most the lesser count of each leading byte."""
+    most = np.where((x == 255) & (y == 255), np.iinfo(np.int32).max // 256, np.minimum(x, y)).sum(1, dtype=np.int64)
+    return most * (OF + IN) >= total * OF
+
+
+def in_buckets(open_: DataFrame, one: DataFrame, block: int = BUCKET) -> DataFrame:
+    """a, b: pairs of different components (root) that a bucket of open_ (h, sid, n, at, root) holds and sketches allow."""
+
+    def meet(t: pa.Table) -> pa.Table:
+        h, sid, n, at, root, part, lo, hi = (t.column(c).to_numpy() for c in ("h", "sid", "n", "at", "root", "part", "lo", "hi"))
+        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, 256)
+        n, inner, found = n.astype(np.int64), lo[0] == hi[0], [np.zeros((0, 2), np.int64)]
+        room = n - at
+        order = np.argsort(h, kind="stable")
+        for bucket in np.split(order, np.flatnonzero(np.diff(h[order])) + 1):
+            left, right = (bucket, bucket) if inner else (bucket[part[bucket] == lo[0]], bucket[part[bucket] == hi[0]])
+            for k, i in enumerate(left):
+                to = right[k + 1 :] if inner else right
+                total = n[i] + n[to]
+                may = (root[to] != root[i]) & (np.minimum(room[i], room[to]) * (OF + IN) >= total * OF)
+                if may.any():
+                    to, total = to[may], total[may]
+                    to = to[alike(sketches[i], sketches[to], total)]
+                    found.append(np.column_stack([np.minimum(sid[i], sid[to]), np.maximum(sid[i], sid[to])]))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    sizes = open_.groupBy("h").agg(F.ceil(F.count("*") / block).alias("parts"))
+    cells = max(1, open_.count() // block)
+    dealt = open_.join(sizes, "h").withColumn("part", F.pmod(F.xxhash64("sid"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # Buckets of one block share cells.
+    cell = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("h"), F.lit(cells))).otherwise(F.col("h"))
+    dealt = dealt.select("h", "sid", "n", "at", "root", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), cell.alias("cell"))
+    return dealt.join(one.select("sid", "sketch"), "sid").groupBy("cell", "lo", "hi").applyInArrow(meet, "a long, b long")
+
+
 def plausible(pairs: DataFrame, one: DataFrame) -> DataFrame:
-    """Those of the pairs a, b whose sketches allow the similarity: sets share at most the lesser count of each leading byte."""
+    """Those of the pairs a, b whose sketches allow the similarity."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("x", "y"))
-            most = np.where((x == 255) & (y == 255), np.iinfo(np.int32).max // 256, np.minimum(x, y)).sum(1, dtype=np.int64)
             total = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
-            yield b.select(["a", "b"]).filter(pa.array(most * (OF + IN) >= total * OF))
+            yield b.select(["a", "b"]).filter(pa.array(alike(x, y, total)))
 
     side = lambda end, name: one.select(F.col("sid").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(name))
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(keep, "a long, b long")
@@ -334,10 +372,8 @@ def linked(rows: DataFrame, docs: DataFrame, text_col: str, block: int = BLOCK)
     family = durable(families(open_, block))
     blocks = in_blocks(family.where("dense"), rows, docs, text_col, block)
     open_ = open_.join(family.where("NOT dense").select("sid"), "sid", "left_semi")
-    left = open_.where("root <> main").select("h", "sid", "n", "at", "root").toDF("h", "l_sid", "l_n", "l_at", "l_root")
-    rest = left.join(open_, "h").where("l_root <> root AND (root = main OR l_sid < sid)").where(possible("l_n", "l_at", "n", "at"))
-    rest = rest.select(F.least("l_sid", "sid").alias("a"), F.greatest("l_sid", "sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = similar(durable(plausible(rest, one)), rows, docs, text_col)
+    rest = in_buckets(open_, one).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = similar(durable(rest), rows, docs, text_col)
     return components(links.unionByName(durable(blocks)).unionByName(more))
 
 
