@@ -122,3 +122,20 @@ def test_sketches_meet_in_blocks_of_buckets(spark):
     assert want
     for block in (similar.BUCKET, 7):
         assert sorted(map(tuple, similar.in_buckets(open_, one, block).distinct().collect())) == want
+
+
+def test_a_wide_family_of_one_bucket_is_not_copied_to_blocks(spark):
+    """The pipeline's disk: 40 sets of 50 hashes in blocks of 100 would travel 20 times each, for 780 pairs."""
+    rows = lambda at, count, n, hashes: [(h, at + i, n, 0, at + i, at) for h in range(at, at + hashes) for i in range(count)]
+    open_ = spark.createDataFrame([*rows(0, 40, 50, 1), *rows(1000, 40, 2, 1), *rows(2000, 40, 50, 10)], "h long, sid long, n int, at int, root long, main long")
+    dense = {r.family: r.dense for r in similar.families(open_, 100).collect()}
+    assert dense == {0: False, 1000: True, 2000: True}
+
+
+@pytest.mark.parametrize("hot", [2, 20, 10**6])
+def test_any_split_of_buckets_gives_what_brute_force_gives(spark, monkeypatch, hot):
+    monkeypatch.setattr(similar, "HOT", hot)
+    texts = shifted()
+    want = similar.brute_force(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in similar.keep_one(docs).collect()} == set(want.values())

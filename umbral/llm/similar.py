@@ -17,10 +17,11 @@ First, what ball hashing proposes is compared, and each bucket with one of its m
 groups of copies in O(n) comparisons. Then what is left are pairs of a bucket that lie in different components so far, and all of
 these are compared. Pairs within one component need no comparison: they cannot change it.
 
-Buckets that have sets in common are a family. Where the pairs of its buckets outnumber the copies of sets that
-blocks need, a family is compared in blocks: each pair of blocks meets in one task, which gives a forest of the links it
-finds, so no pairs are made as rows. Other families are large and their buckets small; sketches meet bucket by bucket
-inside tasks, and only pairs that these allow are made as rows and compared by their whole sets.
+Buckets of more than HOT sets that have sets in common are a family. Where the pairs of its buckets outnumber the copies
+of sets that blocks need, and take more bytes, a family is compared in blocks: each pair of blocks meets in one task, which
+gives a forest of the links it finds, so no pairs are made as rows. Other families are large and their buckets small; there,
+and in small buckets, sketches meet bucket by bucket inside tasks, and only pairs that these allow, of sets that no
+blocks compared, are made as rows and compared by their whole sets.
 
 Null and empty texts have the empty set and are copies of each other. Empty tables give empty results.
 """
@@ -50,6 +51,10 @@ CELL, SLICE = 1_000_000, 1 << 21
 BLOCK = 1 << 18
 #: Rows of a block of a bucket, of which two meet in one task.
 BUCKET = 4096
+#: Sets of a bucket beyond which it may make a family.
+HOT = 32
+#: Bytes that travel for a hash, for a place of a bucket with its sketch, and for a pair.
+HASH_BYTES, PLACE_BYTES, PAIR_BYTES = 8, 272, 16
 
 
 def shingle_set(text: bytes | None, width: int = WIDTH, seed: int = 42) -> np.ndarray:
@@ -155,10 +160,15 @@ def alike(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 def in_buckets(open_: DataFrame, one: DataFrame, block: int = BUCKET) -> DataFrame:
-    """a, b: pairs of different components (root) that a bucket of open_ (h, sid, n, at, root) holds and sketches allow."""
+    """a, b: pairs of different components (root) that a bucket of open_ (h, sid, n, at, root) holds and sketches allow.
+
+    Where open_ has a family, pairs of one family, which blocks compare, are left out.
+    """
+    if "family" not in open_.columns:
+        open_ = open_.withColumn("family", F.col("sid"))
 
     def meet(t: pa.Table) -> pa.Table:
-        h, sid, n, at, root, part, lo, hi = (t.column(c).to_numpy() for c in ("h", "sid", "n", "at", "root", "part", "lo", "hi"))
+        h, sid, n, at, root, family, part, lo, hi = (t.column(c).to_numpy() for c in ("h", "sid", "n", "at", "root", "family", "part", "lo", "hi"))
         sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, 256)
         n, inner, found = n.astype(np.int64), lo[0] == hi[0], [np.zeros((0, 2), np.int64)]
         room = n - at
@@ -168,7 +178,7 @@ def in_buckets(open_: DataFrame, one: DataFrame, block: int = BUCKET) -> DataFra
             for k, i in enumerate(left):
                 to = right[k + 1 :] if inner else right
                 total = n[i] + n[to]
-                may = (root[to] != root[i]) & (np.minimum(room[i], room[to]) * (OF + IN) >= total * OF)
+                may = (root[to] != root[i]) & (family[to] != family[i]) & (np.minimum(room[i], room[to]) * (OF + IN) >= total * OF)
                 if may.any():
                     to, total = to[may], total[may]
                     to = to[alike(sketches[i], sketches[to], total)]
@@ -181,7 +191,7 @@ def in_buckets(open_: DataFrame, one: DataFrame, block: int = BUCKET) -> DataFra
     dealt = open_.join(sizes, "h").withColumn("part", F.pmod(F.xxhash64("sid"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     # Buckets of one block share cells.
     cell = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("h"), F.lit(cells))).otherwise(F.col("h"))
-    dealt = dealt.select("h", "sid", "n", "at", "root", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), cell.alias("cell"))
+    dealt = dealt.select("h", "sid", "n", "at", "root", "family", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), cell.alias("cell"))
     return dealt.join(one.select("sid", "sketch"), "sid").groupBy("cell", "lo", "hi").applyInArrow(meet, "a long, b long")
 
 
@@ -282,9 +292,13 @@ def families(open_: DataFrame, block: int = BLOCK) -> DataFrame:
     root = components(open_.join(head, "h").select(F.col("head").alias("a"), F.col("sid").alias("b")))
     members = open_.groupBy("sid").agg(F.first("n").alias("n")).join(root, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("family"))
     # Pairs that a join of the buckets would make, and copies of sets that blocks need.
-    joined = open_.join(members.select("sid", "family"), "sid").groupBy("h", "family").agg((F.count("*") * F.sum((F.col("root") != F.col("main")).cast("long"))).alias("made"))
-    size = members.groupBy("family").agg(F.count("*").alias("held"), F.ceil(F.sum("n") / block).alias("parts"))
-    dense = size.join(joined.groupBy("family").agg(F.sum("made").alias("made")), "family").select("family", "parts", (F.col("held") * F.col("parts") <= F.col("made")).alias("dense"))
+    joined = open_.join(members.select("sid", "family"), "sid").groupBy("h", "family").agg(F.count("*").alias("places"), (F.count("*") * F.sum((F.col("root") != F.col("main")).cast("long"))).alias("made"))
+    joined = joined.groupBy("family").agg(F.sum("places").alias("places"), F.sum("made").alias("made"))
+    size = members.groupBy("family").agg(F.count("*").alias("held"), F.sum("n").alias("hashes"), F.ceil(F.sum("n") / block).alias("parts"))
+    fewer = F.col("held") * F.col("parts") <= F.col("made")
+    # One block is no copy. The copies of more grow with the square of the family, be its buckets ever so small.
+    lighter = F.col("hashes") * F.col("parts") * HASH_BYTES <= F.col("places") * PLACE_BYTES + F.col("made") * PAIR_BYTES
+    dense = size.join(joined, "family").select("family", "parts", (fewer & ((F.col("parts") <= 1) | lighter)).alias("dense"))
     return members.join(dense, "family").select("sid", "family", "n", "parts", "dense")
 
 
@@ -365,13 +379,15 @@ def linked(rows: DataFrame, docs: DataFrame, text_col: str, block: int = BLOCK)
     root = components(links)
 
     # In buckets of two sets, and those of one component, nothing is left to compare.
-    label = shared.where("size > 2").join(root, F.col("sid") == F.col("node"), "left").select("h", "sid", "n", "at", F.coalesce("root", "sid").alias("root"))
+    label = shared.where("size > 2").join(root, F.col("sid") == F.col("node"), "left").select("h", "sid", "n", "at", "size", F.coalesce("root", "sid").alias("root"))
     main = label.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("roots"))
     main = main.where("roots > 1").select("h", F.col("top.root").alias("main"))
     open_ = durable(label.join(main, "h"))
-    family = durable(families(open_, block))
-    blocks = in_blocks(family.where("dense"), rows, docs, text_col, block)
-    open_ = open_.join(family.where("NOT dense").select("sid"), "sid", "left_semi")
+    family = durable(families(open_.where(F.col("size") > HOT), block).where("dense"))
+    blocks = in_blocks(family, rows, docs, text_col, block)
+    # A bucket that made a family lies in it; a family is named by one of its own sets, so other sets can stand for themselves.
+    open_ = open_.join(family.select("sid", "family"), "sid", "left").where((F.col("size") <= HOT) | F.col("family").isNull())
+    open_ = open_.withColumn("family", F.coalesce("family", "sid"))
     rest = in_buckets(open_, one).distinct().join(pairs, ["a", "b"], "left_anti")
     more = similar(durable(rest), rows, docs, text_col)
     return components(links.unionByName(durable(blocks)).unionByName(more))
