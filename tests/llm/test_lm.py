@@ -118,3 +118,13 @@ def test_query_beats_subword_frequencies_on_held_out_text(spark, sf, documents,
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(p[seq[r.doc_id]].sum() for r in held)
     assert len(rank_table(ranks[0])) == 50_256
+
+
+def test_windows_at_once_have_no_effect_and_stay_small(monkeypatch):
+    m = lm.Model(20, 19)
+    m.fit([[int(x) for x in np.random.default_rng(i).integers(0, 12, 40)] for i in range(20)])
+    follow, lengths = np.random.default_rng(1).integers(0, 19, 5000), np.array([4000, 1, 999])
+    assert lm.CHUNK * lm.WINDOW * lm.CLASSES * 4 < 1 << 18
+    want = m.scores(follow, lengths)
+    monkeypatch.setattr(lm, "CHUNK", 512)
+    assert np.allclose(m.scores(follow, lengths), want, rtol=1e-6)
