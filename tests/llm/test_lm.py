@@ -128,3 +128,30 @@ def test_windows_at_once_have_no_effect_and_stay_small(monkeypatch):
     want = m.scores(follow, lengths)
     monkeypatch.setattr(lm, "CHUNK", 512)
     assert np.allclose(m.scores(follow, lengths), want, rtol=1e-6)
+
+
+def test_long_documents_teach_the_weights_and_partitions_do_not_matter(spark, ranks):
+    """No sample held texts of over 20 000 characters; their order of words, with all counts alike, changes what is learned."""
+    words = [f"{a}{b}" for a in ("red", "blue", "old", "new") for b in ("cat", "dog", "house", "tree")]
+    short = [(i, " ".join(words[(i * k) % 16] for k in range(30))) for i in range(12)]
+    long = " ".join(words * 400)
+    assert len(long) > lm.SAMPLE_CHARS
+
+    def scores(text, parts):
+        df = spark.createDataFrame([*short, (99, text)], "doc_id long, text string").repartition(parts)
+        rows = lm.score(df, F.col("doc_id") != 3, *ranks, size=50_257, end=50_256).collect()
+        return {r.doc_id: r.score for r in rows}, {r.doc_id: r.base_score for r in rows}
+
+    one, base = scores(long, 1)
+    other, same = scores(" ".join(sorted(long.split())), 1)
+    assert abs(base[3] - same[3]) < 1e-9 and abs(one[3] - other[3]) > 1e-3
+    again = scores(long, 4)[0]
+    assert all(abs(again[i] - one[i]) < 1e-3 for i in one)
+
+
+def test_neighbours_do_not_reach_over_an_end():
+    a, b = np.array([1, 2, 9]), np.array([3, 9])
+    seen, count, f = lm.neighbours(np.concatenate([a, b]), np.array([3, 2]), 9)
+    assert seen.tolist() == [1, 2, 3, 9] and count.tolist() == [1, 1, 1, 2]
+    parts = [lm.neighbours(x, np.array([len(x)]), 9) for x in (a, b)]
+    assert all((f[seen == i][0] == sum((p[2][p[0] == i].sum(0) for p in parts))).all() for i in seen)

@@ -6,9 +6,12 @@ sum of log10((c + 1) / (N + V + 1)).
 The model reads each word as the subword ids that a public rank file gives it after a space, and then
 the end. One layer of causal self-attention, trained in numpy, predicts the next id's class from the
 ids before it in a window of WINDOW; p(id) = p(class | window) * p(id | class). Windows overlap by
-OVERLAP ids and every id is scored once. The attention weights and the classes are fitted on a bounded sample (at
-most SAMPLE_ROWS learning documents of at most SAMPLE_CHARS characters, the first FIT_IDS ids of them); the
-counts behind p(id | class), and all counts of the base score, are those of all learning documents.
+OVERLAP ids and every id is scored once. Everything is learned from all learning documents: the counts of the
+base score and behind p(id | class), the neighbours that the classes come from, and the attention weights. A sample (at
+most SAMPLE_ROWS learning documents of at most SAMPLE_CHARS characters, the first FIT_IDS ids of them) only gives
+the weights a start. From there all learning documents, dealt by hash into shards of about SHARD, are learned from
+in whole, shard by shard; each id's embedding becomes the mean of those of the shards, weighted by how often
+they have it, and each other weight the mean weighted by ids. Shards and their order do not depend on partitions.
 
 Counting needs one shuffle. Words that are frequent in the sample (at most FREQUENT of them, so
 their table has a bounded size) are summed inside tasks; each other word of a document is a row dealt by word, where
@@ -35,6 +38,10 @@ WINDOW, OVERLAP = 32, 8
 WIDTH, CLASSES = 16, 48
 SAMPLE_ROWS, SAMPLE_CHARS, FIT_IDS = 3_000, 20_000, 400_000
 FREQUENT = 100_000
+#: Learning documents of a shard, and ids that are averaged by one task.
+SHARD, IDS = 2048, 1024
+#: Bins of neighbours that classes are told apart by, on each side.
+BINS = 64
 EPOCHS, BATCH, RATE = 4, 256, 6e-3
 #: Windows and documents that are scored at once; so few windows that what they need stays in a core's cache. No effect on results.
 CHUNK, DOCUMENTS = 32, 128
@@ -80,23 +87,29 @@ class Vocabulary:
         return np.concatenate([self.flat, flat])[at], n
 
 
-def classes_of(stream: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """A class for each id: k-means over the hashed ids before and after it; ids that the stream lacks share the last."""
-    count = np.bincount(stream, minlength=size)
-    seen = np.flatnonzero(count)
-    place = np.full(size, -1)
-    place[seen] = np.arange(len(seen))
-    bins = 64
-    f = np.zeros((len(seen), 2 * bins), np.float32)
-    near = (stream.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
-    np.add.at(f, (place[stream[1:]], near[:-1]), 1)
-    np.add.at(f, (place[stream[:-1]], bins + near[1:]), 1)
+def neighbours(follow: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of sequences, ascending, how often they occur, and how often hashed ids stand before and after them."""
+    seen, place, count = np.unique(follow, return_inverse=True, return_counts=True)
+    near = (np.append(follow, end).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
+    near, of_end = near[:-1], near[-1]
+    last = np.cumsum(lengths) - 1
+    before, inner = np.roll(near, 1), np.ones(len(follow), bool)
+    before[last + 1 - lengths] = of_end
+    inner[last] = False
+    f = np.bincount(place * 2 * BINS + before, minlength=len(seen) * 2 * BINS)
+    f += np.bincount(place[inner] * 2 * BINS + BINS + near[np.flatnonzero(inner) + 1], minlength=len(f))
+    return seen, count, f.reshape(len(seen), 2 * BINS)
+
+
+def classes_of(seen: np.ndarray, count: np.ndarray, f: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """A class for each id: k-means over what neighbours() found; ids that are not seen share the last."""
+    f, bins = f.astype(np.float32), BINS
     f = np.sqrt((f + 0.1) / (f.sum(1, keepdims=True) + 0.2 * bins))
     rng = np.random.default_rng(seed)
     k = min(CLASSES - 1, len(seen))
-    centre = f[np.argsort(-count[seen], kind="stable")[:k]] if len(seen) else f
+    centre = f[np.argsort(-count, kind="stable")[:k]] if len(seen) else f
     label = np.zeros(len(seen), np.int64)
-    weight = np.sqrt(count[seen])
+    weight = np.sqrt(count)
     for _ in range(8):
         label = (f @ centre.T - 0.5 * (centre**2).sum(1)).argmax(1) if k else label
         total = np.bincount(label, weight, k)
@@ -110,14 +123,14 @@ def classes_of(stream: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return out
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(lengths: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts (in the concatenation of sequences), the sequence, and the first position that a window scores."""
-    step = WINDOW - OVERLAP
+    step = WINDOW - overlap
     n = 1 + np.maximum(0, -(-(lengths - WINDOW) // step))
     seq = np.repeat(np.arange(len(lengths)), n)
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     starts = np.repeat(np.cumsum(lengths) - lengths, n) + k * step
-    return starts, seq, np.where(k > 0, OVERLAP, 0)
+    return starts, seq, np.where(k > 0, overlap, 0)
 
 
 class Attention:
@@ -189,22 +202,31 @@ class Attention:
         np.add.at(de, ids.ravel(), flat(dx))
         return {"e": de, "p": dx.sum(0), "qkv": flat(x).T @ flat(dqkv), "out": flat(y).T @ flat(z), "b": flat(z).sum(0)}
 
-    def fit(self, ids: np.ndarray, targets: np.ndarray, real: np.ndarray, seed: int = 2) -> None:
+    def fit(self, ids: np.ndarray, targets: np.ndarray, real: np.ndarray, seed: int = 2, epochs: int = EPOCHS) -> None:
         """Adam on windows of ids, the classes that follow, and which of these count."""
         rng = np.random.default_rng(seed)
+        # Embeddings of other ids have no gradient.
+        whole, (seen, places) = self.w["e"], np.unique(ids, return_inverse=True)
+        self.w["e"], ids = whole[seen], places.reshape(ids.shape)
         m, s = ({n: np.zeros_like(x) for n, x in self.w.items()} for _ in range(2))
-        steps = EPOCHS * -(-len(ids) // BATCH)
+        steps = epochs * -(-len(ids) // BATCH)
         t = 0
-        for _ in range(EPOCHS):
+        for _ in range(epochs):
             order = rng.permutation(len(ids))
             for at in range(0, len(order), BATCH):
                 some = order[at : at + BATCH]
                 t += 1
                 rate = RATE * (1 - (t - 1) / steps) * (1 - 0.999**t) ** 0.5 / (1 - 0.9**t)
-                for n, g in self.gradients(ids[some], targets[some], real[some]).items():
+                total, n_real = {n: np.zeros_like(x) for n, x in self.w.items()}, max(1, real[some].sum())
+                for part in np.split(some, range(CHUNK, len(some), CHUNK)):
+                    for n, g in self.gradients(ids[part], targets[part], real[part]).items():
+                        total[n] += g * np.float32(real[part].sum() / n_real)
+                for n, g in total.items():
                     m[n] += 0.1 * (g - m[n])
                     s[n] += 0.001 * (g * g - s[n])
                     self.w[n] -= (rate * m[n] / (np.sqrt(s[n]) + 1e-8)).astype(np.float32)
+        whole[seen] = self.w["e"]
+        self.w["e"] = whole
 
 
 class Model:
@@ -216,12 +238,15 @@ class Model:
         self.classes = np.full(size, CLASSES - 1)
         self.counted(np.zeros(size))
 
-    def fit(self, texts: list[list[int]]) -> None:
+    def fit(self, texts: list[list[int]], classes: np.ndarray | None = None) -> None:
+        """Fits the weights on texts, and finds the classes in them where none are given."""
         if texts:
-            follow = np.concatenate([[*x, self.end] for x in texts]).astype(np.int64)
-            self.classes = classes_of(follow, self.size)
-            ids, targets, real = self.laid_out(follow, np.array([len(x) + 1 for x in texts]))[:3]
+            follow, lengths = np.concatenate([[*x, self.end] for x in texts]).astype(np.int64), np.array([len(x) + 1 for x in texts])
+            self.classes = classes_of(*neighbours(follow, lengths, self.end), self.size) if classes is None else classes
+            ids, targets, real = self.laid_out(follow, lengths)[:3]
             self.net.fit(ids, self.classes[targets], real.astype(np.float32))
+        elif classes is not None:
+            self.classes = classes
         else:
             self.net.w = {n: np.zeros_like(x) for n, x in self.net.w.items()}
         # A class without ids is never the one that follows.
@@ -233,7 +258,13 @@ class Model:
         total = np.bincount(self.classes, counts + 1.0, CLASSES)
         self.within = np.log10((counts + 1.0) / total[self.classes])
 
-    def laid_out(self, follow: np.ndarray, lengths: np.ndarray) -> tuple:
+    def more(self, follow: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Goes on fitting the weights, once over all the sequences, each id of which counts once; the ids before, and how often."""
+        ids, targets, real, _ = self.laid_out(follow, lengths, 0)
+        self.net.fit(ids, self.classes[targets], real.astype(np.float32), epochs=1)
+        return np.unique(ids[real], return_counts=True)
+
+    def laid_out(self, follow: np.ndarray, lengths: np.ndarray, overlap: int = OVERLAP) -> tuple:
         """Windows of the ids before, of the ids that follow, which of these are scored, and the sequence of each window.
 
         follow: the ids of all sequences, one after another, each with its end.
@@ -241,7 +272,7 @@ class Model:
         before = np.roll(follow, 1)
         last = np.cumsum(lengths)
         before[last - lengths] = self.end
-        starts, seq, first = windows(lengths)
+        starts, seq, first = windows(lengths, overlap)
         at = starts[:, None] + np.arange(WINDOW)
         real = (at < last[seq][:, None]) & (np.arange(WINDOW) >= first[:, None])
         at = np.minimum(at, len(follow) - 1)
@@ -258,6 +289,81 @@ class Model:
         return out
 
 
+def sequences(v: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after another, each with its end, and how many each has."""
+    found = [[*words_of(t), None] for t in texts]
+    tokens = list(chain.from_iterable(found))
+    ids, n = v.ids(tokens, v.places(tokens))
+    return ids.astype(np.int64), np.add.reduceat(n, np.cumsum([0, *map(len, found)])[:-1])
+
+
+def learned_classes(taught: DataFrame, vocabulary, size: int, end: int) -> np.ndarray:
+    """Classes by the neighbours that ids have in all texts of `taught`."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, place, count, f = rebuilt(vocabulary.value, Vocabulary), np.full(size, -1), np.zeros(0, np.int64), np.zeros((0, 2 * BINS), np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, DOCUMENTS):
+                seen, n, near = neighbours(*sequences(v, b.column(0).slice(at, DOCUMENTS).to_pylist()), end)
+                new = seen[place[seen] < 0]
+                place[new] = len(count) + np.arange(len(new))
+                count, f = np.append(count, np.zeros(len(new), np.int64)), np.concatenate([f, np.zeros((len(new), 2 * BINS), np.int64)])
+                count[place[seen]] += n
+                f[place[seen]] += near
+        ids = np.flatnonzero(place >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids // IDS, pa.int32()), pa.array(ids, pa.int32()), pa.array(count[place[ids]], pa.int64()), pa.array([x.tobytes() for x in f[place[ids]]], pa.binary())], names=["block", "id", "count", "near"])
+
+    def total(t: pa.Table) -> pa.Table:
+        ids, at = np.unique(t.column("id").to_numpy(), return_inverse=True)
+        count, f = np.zeros(len(ids), np.int64), np.zeros((len(ids), 2 * BINS), np.int64)
+        np.add.at(count, at, t.column("count").to_numpy())
+        for i, x in zip(at, t.column("near"), strict=True):
+            f[i] += np.frombuffer(x.as_py(), np.int64)
+        return pa.Table.from_arrays([pa.array(ids, pa.int32()), pa.array(count), pa.array([x.tobytes() for x in f], pa.binary())], names=["id", "count", "near"])
+
+    found = taught.select("text").mapInArrow(sums, "block int, id int, count long, near binary").groupBy("block").applyInArrow(total, "id int, count long, near binary")
+    rows = sorted(found.toLocalIterator())  # at most `size`
+    f = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.int64).reshape(-1, 2 * BINS)
+    return classes_of(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), f, size)
+
+
+def learn_all(taught: DataFrame, n_taught: int, vocabulary, model: Model) -> None:
+    """Sets the model's weights to the means of those that the shards of all rows of `taught` lead to."""
+    start, shards = taught.sparkSession.sparkContext.broadcast(plain(model)), -(-n_taught // SHARD)
+    others = [n for n in model.net.w if n != "e"]
+
+    def fit(t: pa.Table) -> pa.Table:
+        v, model = rebuilt(vocabulary.value, Vocabulary), rebuilt(start.value, Model, Attention)
+        model.net.w = {n: x.copy() for n, x in model.net.w.items()}
+        order = np.argsort(t.column("key").to_numpy(), kind="stable")
+        ids, count = model.more(*sequences(v, t.column("text").take(pa.array(order)).to_pylist()))
+        block = ids // IDS
+        rows = [(int(b), ids[block == b], count[block == b], model.net.w["e"][ids[block == b]]) for b in np.unique(block)]
+        rows.append((-1, np.zeros(1, np.int64), count.sum(keepdims=True), np.concatenate([model.net.w[n].ravel() for n in others])))
+        shard = t.column("shard")[0].as_py()
+        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([shard] * len(rows), pa.int64()), *(pa.array([r[i].astype(k).tobytes() for r in rows], pa.binary()) for i, k in ((1, np.int64), (2, np.int64), (3, np.float32)))], names=["block", "shard", "ids", "count", "value"])
+
+    def mean(t: pa.Table) -> pa.Table:
+        whole, weight = {}, {}
+        for i in np.argsort(t.column("shard").to_numpy(), kind="stable"):
+            ids, count = (np.frombuffer(t.column(c)[i].as_py(), np.int64) for c in ("ids", "count"))
+            for id_, n, x in zip(ids.tolist(), count.tolist(), np.frombuffer(t.column("value")[i].as_py(), np.float32).reshape(len(ids), -1), strict=True):
+                whole[id_] = whole.get(id_, 0.0) + n * x.astype(np.float64)
+                weight[id_] = weight.get(id_, 0) + n
+        return pa.Table.from_arrays([pa.array([t.column("block")[0].as_py()] * len(whole), pa.int32()), pa.array(list(whole), pa.int32()), pa.array([(x / weight[i]).astype(np.float32).tobytes() for i, x in whole.items()], pa.binary())], names=["block", "id", "value"])
+
+    dealt = taught.select("text", "key", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)).alias("shard"))
+    found = dealt.groupBy("shard").applyInArrow(fit, "block int, shard long, ids binary, count binary, value binary")
+    for block, id_, value in found.groupBy("block").applyInArrow(mean, "block int, id int, value binary").toLocalIterator():  # as many floats as the model has
+        x = np.frombuffer(bytes(value), np.float32)
+        if block >= 0:
+            model.net.w["e"][id_] = x
+        else:
+            for n, part in zip(others, np.split(x, np.cumsum([model.net.w[n].size for n in others])[:-1]), strict=True):
+                model.net.w[n] = part.reshape(model.net.w[n].shape).copy()
+    model.net.bounded()
+
+
 def score(docs: DataFrame, learn: Column, path: str, pattern: str, size: int, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id_col, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -279,8 +385,11 @@ def score(docs: DataFrame, learn: Column, path: str, pattern: str, size: int, en
         if left > 0:
             texts.append(words.ids(text, words.places(text))[0].tolist())
             left -= len(texts[-1]) + 1
-    model = Model(size, end)
-    model.fit(texts)
+    model, taught = Model(size, end), named.where("learn")
+    n_taught = taught.count()
+    model.fit(texts, learned_classes(taught, vocabulary, size, end) if n_taught else None)
+    if n_taught:
+        learn_all(taught, n_taught, vocabulary, model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (RARE, word, key, tf) for words that are not frequent, tf below 0 where they teach nothing; and the task's sums of all else."""
