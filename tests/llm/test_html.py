@@ -100,3 +100,20 @@ def test_query_against_a_plain_reading(spark, sf):
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", page[r.page_id], re.S)[1]
         parts = [" ".join(entities.unescape(re.sub(r"<[^>]*>|<[a-z/][^>]*\Z", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", inner)]
         assert r.text == "\n\n".join(filter(None, parts)) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("part_words", [html.PART_WORDS, 12])
+def test_the_array_reads_pages_with_articles_too(spark, part_words):
+    """All pages have an article: an unmarked notice in most of them goes; copies, prose, and what few pages share stay."""
+    notice = "<div>sign up now for the letter of this fine house</div>"
+    prose = "<p>one passage of many words that all pages quote from others</p>"
+    few = "<div>a list of many words that only two of the pages share</div>"
+    menu = "<div>Home About Contact Us Log In Register Now Today</div>"
+    rows = [(i, "http://h.com/", f"{menu}<article><p>text {i}</p>{notice if i < 4 else ''}{prose}{few if i < 2 else ''}</article>") for i in range(6)]
+    rows += [(10 + i, "http://copies.com/", f"<article>{notice}</article>") for i in range(4)]
+    rows += [(20 + i, "http://two.com/", f"<article><p>x</p>{notice}</article>") for i in range(2)]
+    bare = lambda x: re.sub("<[^>]*>", "", x)
+    got = {r.page_id: (r.text, r.n_repeated) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), part_words=part_words).collect()}
+    want = {i: (html.joined([f"text {i}", bare(prose), *[bare(few)] * (i < 2)]), 9 + 10 * (i < 4) + 12 * (i < 2)) for i in range(6)}
+    want |= {10 + i: (bare(notice), 10) for i in range(4)} | {20 + i: (html.joined(["x", bare(notice)]), 10) for i in range(2)}
+    assert got == want

@@ -1,15 +1,18 @@
-"""Main-text extraction: page structure first, and a host-wide suffix array where structure is silent.
-
-A page is read into blocks of text. Structure decides most of them: what lies in an article (or main)
-element and in none of the elements, roles or classes of page furniture is content; the furniture, and
-all else outside the article, is not. Pages without such an element have undecided blocks.
-
-The suffix array decides those. The words outside articles of all pages of a host are concatenated,
-their suffixes sorted (by prefix doubling), and runs of MIN_RUN words or more that occur on distinct
-pages are boilerplate: it is cut from undecided blocks, whose unique runs stay. Text inside an article
-is never cut, however often it is repeated: copies and quotations are content too.
-
-Only hosts that have such pages are looked at.
+"""Main-text extraction: a host-wide suffix array over all pages, and a check of what it finds by page structure.
+
+A page is read into blocks of text. The words of all pages of a host, but for the prose of articles, are
+concatenated, their suffixes sorted (by prefix doubling), and runs of MIN_RUN words or more that occur
+on distinct pages are boilerplate. Every page, of every host, is joined with its runs, and they are
+checked against its structure:
+
+* Pages without an article (or main) element: runs are cut, and what is unique stays, but for what lies in
+  elements, roles or classes of page furniture.
+* Pages with one: the furniture, and all else outside the article, is left out, whether it is repeated or
+  unique. In the article, a block in an element of its own that is no prose (a div or list; not a
+  paragraph, heading, quotation, table or figure, nor the article's own text) is an unmarked notice or menu,
+  and goes, if runs cover all of it, the same block stands in articles of COMMON pages or more and of more
+  than half of the host's pages, and other text of the article stays. All other text inside an
+  article is never cut, however often it is repeated: copies and quotations are content too.
 
 A host of many words is divided: a suffix goes to the part that the hash of its first MIN_RUN words
 names. Repeated runs of that length or more are just the unions of repeated windows of that length, so
@@ -22,6 +25,7 @@ Rows alike in id, url and html are one page, each with its row. A null url, or o
 the empty host, which is a host like any other.
 """
 
+import hashlib
 import html as entities
 import re
 import zlib
@@ -36,6 +40,8 @@ from .common import durable
 
 #: Words of a run that is boilerplate when distinct pages of a host share it.
 MIN_RUN = 8
+#: Pages of a host, at least, that a notice inside articles stands on.
+COMMON = 3
 #: Words of a host that one task sorts.
 PART_WORDS = 1_000_000
 
@@ -53,7 +59,10 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 #: Words of classes and ids that name furniture.
 NAMES = frozenset("ad ads adbox advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr hidden masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 
-CONTENT, CHROME, UNDECIDED = 0, 1, 2
+#: Elements whose text in an article is prose.
+PROSE = frozenset("blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 p pre table".split())
+
+CONTENT, CHROME, UNDECIDED, LOOSE = 0, 1, 2, 3
 
 
 def furniture(name: str, attributes: str) -> bool:
@@ -70,32 +79,34 @@ def furniture(name: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str | None) -> list[tuple[int, str]]:
-    """(CONTENT, CHROME or UNDECIDED, text) of each block of a page, in its order."""
-    out: list[tuple[int, str]] = []
+def blocks(page: str | None, apart: bool = False) -> list[tuple[int, str]]:
+    """(CONTENT, CHROME or UNDECIDED, text) of each block of a page, in its order; with `apart`, content that is no prose is LOOSE."""
+    out: list[tuple[int, bool, str]] = []
     if not page:
-        return out
+        return []
     # An open element: name, whether furniture, whether article or main. Where elements of each name, and blocks, are in the stack.
     stack: list[tuple[str, bool, int]] = []
     where: dict[str, list[int]] = {}
     open_blocks: list[int] = []
     text: list[str] = []
-    chrome = article = main = 0
+    chrome = article = main = prose = 0
     any_article = any_main = False
 
     def flush() -> None:
         words = "".join(text).split()
         text.clear()
         if words:
-            out.append((-1 if chrome else 2 if article else 1 if main else 0, " ".join(words)))
+            loose = apart and not prose and bool(open_blocks) and not stack[open_blocks[-1]][2]
+            out.append((-1 if chrome else 2 if article else 1 if main else 0, loose, " ".join(words)))
 
     def close(i: int) -> None:
         """Closes the elements from the i-th on."""
-        nonlocal chrome, article, main
+        nonlocal chrome, article, main, prose
         for name, f, kind in stack[i:]:
             chrome -= f
             article -= kind == 2
             main -= kind == 1
+            prose -= name in PROSE
             where[name].pop()
             if name in BLOCK:
                 open_blocks.pop()
@@ -143,11 +154,12 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         chrome += f
         article += kind == 2
         main += kind == 1
+        prose += name in PROSE
         any_article |= kind == 2 and not chrome
         any_main |= kind == 1 and not chrome
     flush()
     wanted = 2 if any_article else 1 if any_main else 0
-    return [(CHROME if where < max(0, wanted) else CONTENT if wanted else UNDECIDED, t) for where, t in out]
+    return [(CHROME if where < max(0, wanted) else UNDECIDED if not wanted else LOOSE if loose else CONTENT, t) for where, loose, t in out]
 
 
 def windows_repeated(ids: np.ndarray, page: np.ndarray, first: np.ndarray, run: int) -> np.ndarray:
@@ -183,16 +195,36 @@ def outside(found: list[tuple[int, str]]) -> list[str]:
     return [w for kind, t in found if kind != CONTENT for w in t.split(" ")]
 
 
-def repeated(named: DataFrame, run: int, part_words: int) -> DataFrame:
-    """id, tag, starts: where on a page repeated runs begin, from id, tag, host, html."""
+def block_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [word_ids(outside(blocks(x))) for x in b.columns[-1].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(x) for x in ids], pa.int32()), pa.array(ids, pa.list_(pa.int32()))], names=["id", "tag", "host", "n", "words"])
 
+def streams(named: DataFrame) -> DataFrame:
+    """id, tag, host, n, words, own of each page: what the array reads, and hashes of the blocks of the article that are no prose."""
     kind = named.schema["id"].dataType.simpleString()
-    rows = durable(named.select("id", "tag", "host", "html").mapInArrow(streams, f"id {kind}, tag long, host string, n int, words array<int>").where(F.col("n") >= run).dropDuplicates(["id", "tag"]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [blocks(x, True) for x in b.columns[-1].to_pylist()]
+            ids = [word_ids(outside(x)) for x in found]
+            own = [sorted({block_hash(t) for k, t in x if k == LOOSE}) for x in found]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(x) for x in ids], pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.int64()))], names=["id", "tag", "host", "n", "words", "own"])
+
+    return durable(named.select("id", "tag", "host", "html").mapInArrow(read, f"id {kind}, tag long, host string, n int, words array<int>, own array<long>").dropDuplicates(["id", "tag"]))
+
+
+def common_blocks(rows: DataFrame) -> DataFrame:
+    """host, common: hashes of the blocks in articles that stand on COMMON pages or more, and on more than half of the host's."""
+    pages = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    found = rows.select("host", F.explode("own").alias("block")).groupBy("host", "block").agg(F.count("*").alias("n"))
+    # Fewer than twice as many as a page has on average.
+    return found.join(pages, "host").where((F.col("n") >= COMMON) & (2 * F.col("n") > F.col("pages"))).groupBy("host").agg(F.collect_list("block").alias("common"))
+
+
+def repeated(rows: DataFrame, run: int, part_words: int) -> DataFrame:
+    """id, tag, starts: where in the streams of pages repeated runs begin, from what streams() gives."""
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.where(F.col("n") >= run).drop("own")
     hosts = rows.groupBy("host").agg(F.ceil(F.sum(F.col("n").cast("long")) / part_words).cast("int").alias("parts"))
     rows = rows.join(hosts, "host")
 
@@ -250,9 +282,10 @@ def repeated(named: DataFrame, run: int, part_words: int) -> DataFrame:
             at += len(w)
         ids, page, first, local = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, page, first, local))
         hit = windows_repeated(ids, page, first, run)
-        where = np.searchsorted(first, hit)
-        found = [local[where[page[hit] == i]] for i in np.unique(page[hit])]
-        take = pa.array(np.unique(page[hit]), pa.int64())
+        # Ascending, so the places of one page stand together.
+        pages, head = np.unique(page[hit], return_index=True)
+        found = np.split(local[np.searchsorted(first, hit)], head[1:]) if len(pages) else []
+        take = pa.array(pages, pa.int64())
         return pa.Table.from_arrays([t.column("id").take(take), t.column("tag").take(take), pa.array(found, pa.list_(pa.int32()))], names=["id", "tag", "starts"])
 
     found = dealt.where("part >= 0").groupBy("host", "part").applyInArrow(sort, f"id {kind}, tag long, starts array<int>")
@@ -264,57 +297,50 @@ def joined(texts: list[str]) -> str:
     return "\n\n".join(texts)
 
 
-def unique_runs(page: str, starts: list[int] | None, run: int) -> str:
-    """The text of a page without article: undecided blocks without the words that repeated runs cover."""
-    found = blocks(page)
+def main_text(page: str | None, starts: list[int] | None, common: list[int] | None, run: int) -> tuple[str, int]:
+    """The text of a page, and how many words of its stream repeated runs cover."""
+    found = blocks(page, True)
     covered = np.zeros(len(outside(found)) + 1, np.int32)
-    for s in starts or ():
-        covered[s] += 1
-        covered[s + run] -= 1
-    covered = np.cumsum(covered)
-    out, at = [], 0
+    if starts:
+        np.add.at(covered, starts, 1)
+        np.add.at(covered, np.array(starts) + run, -1)
+    covered = np.cumsum(covered) > 0
+    out, at, notices = [], 0, set(common or ())
     for kind, t in found:
+        if kind == CONTENT:
+            out.append((True, t))
+            continue
         words = t.split(" ")
+        mine = covered[at : at + len(words)]
         if kind == UNDECIDED:
-            hit = np.concatenate([[0], covered[at : at + len(words)] > 0, [0]])
+            hit = np.concatenate([[0], mine, [0]])
             keep = np.ones(len(words), bool)
             for a, b in np.flatnonzero(np.diff(hit)).reshape(-1, 2):
                 # What a run has of a block only because it reaches over from the next one stays.
                 keep[a:b] = b - a < min(run, len(words))
-            out.append(" ".join(w for w, k in zip(words, keep, strict=True) if k))
+            out.append((True, " ".join(w for w, k in zip(words, keep, strict=True) if k)))
+        elif kind == LOOSE:
+            out.append((not (mine.all() and block_hash(t) in notices), t))
         at += len(words)
-    return joined([t for t in out if t])
+    kept = [t for stays, t in out if stays and t]
+    # An article that would be left empty is a copy.
+    return joined(kept or [t for _, t in out if t]), int(covered.sum())
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = MIN_RUN, part_words: int = PART_WORDS) -> DataFrame:
-    """id_col, url_col, text of each row of pages."""
+    """id_col, url_col, text, n_repeated of each row of pages; n_repeated: words outside the article's prose that runs cover."""
     url = F.coalesce(F.col(url_col), F.lit(""))
     host = F.when(F.instr(url, "://") > 0, F.lower(F.regexp_extract(url, r"://([^/?#]*)", 1))).otherwise("")
     named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(url_col, html_col, F.length(html_col)).alias("tag"), host.alias("host"), F.col(html_col).alias("html"))
     kind = named.schema["id"].dataType.simpleString()
+    rows = streams(named)
+    runs = repeated(rows, run, part_words).select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), "starts")
+    both = named.join(runs, named["id"].eqNullSafe(runs["__id"]) & (named["tag"] == runs["__tag"]), "left").join(common_blocks(rows), "host", "left")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """text where structure decides; the page itself where it doesn't."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, left = [], []
-            for x in b.columns[-1].to_pylist():
-                found = blocks(x)
-                open_ = any(k == UNDECIDED for k, _ in found)
-                text.append(None if open_ else joined([t for k, t in found if k == CONTENT]))
-                left.append(x if open_ else None)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(text, pa.string()), pa.array(left, pa.string())], names=["id", "url", "host", "tag", "text", "html"])
-
-    done = durable(named.select("id", "url", "host", "tag", "html").mapInArrow(read, f"id {kind}, url string, host string, tag long, text string, html string"))
-    undecided = done.where("html IS NOT NULL")
-    settled = done.where("html IS NULL").select("id", "url", "text")
-    if not undecided.isEmpty():
-        runs = repeated(named.join(undecided.select("host").distinct(), "host", "left_semi"), run, part_words).select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), "starts")
-        undecided = undecided.join(runs, undecided["id"].eqNullSafe(runs["__id"]) & (undecided["tag"] == runs["__tag"]), "left").select("id", "url", "html", "starts")
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                text = [unique_runs(p, s, run) for p, s in zip(b.column("html").to_pylist(), b.column("starts").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(text, pa.string())], names=["id", "url", "text"])
-
-        settled = settled.unionByName(undecided.mapInArrow(cut, f"id {kind}, url string, text string"))
-    return settled.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+            found = [main_text(p, s, c, run) for p, s, c in zip(*(b.column(x).to_pylist() for x in ("html", "starts", "common")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["id", "url", "text", "n_repeated"])
+
+    done = both.select("id", "url", "html", "starts", "common").mapInArrow(cut, f"id {kind}, url string, text string, n_repeated long")
+    return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_repeated")
