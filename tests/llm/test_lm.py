@@ -155,3 +155,47 @@ def test_neighbours_do_not_reach_over_an_end():
     assert seen.tolist() == [1, 2, 3, 9] and count.tolist() == [1, 1, 1, 2]
     parts = [lm.neighbours(x, np.array([len(x)]), 9) for x in (a, b)]
     assert all((f[seen == i][0] == sum((p[2][p[0] == i].sum(0) for p in parts))).all() for i in seen)
+
+
+def test_a_step_learns_as_the_mean_gradient_says():
+    """fit() sums by places and chunks what gradients() gives of a whole batch; the first step of Adam goes by signs."""
+    rng = np.random.default_rng(3)
+    ids, targets = rng.integers(0, 9, (70, lm.WINDOW)), rng.integers(0, lm.CLASSES, (70, lm.WINDOW))
+    real = (rng.random(ids.shape) > 0.3).astype(np.float32)
+    net, other = lm.Attention(9), lm.Attention(9)
+    g = other.gradients(ids, targets, real)
+    net.fit(ids, targets, real, epochs=1)
+    for n, w in net.w.items():
+        sure = np.abs(g[n]) > 1e-5
+        assert np.allclose((w - other.w[n])[sure], -lm.RATE * np.sign(g[n])[sure], rtol=0.05)
+
+
+def test_sums_by_row_against_add_at():
+    rng = np.random.default_rng(4)
+    for size in (5, 70_000):
+        rows, values = rng.integers(0, size, 900), rng.random((900, 3))
+        got, want = np.ones((size, 3)), np.ones((size, 3))
+        lm.summed(got, rows, values)
+        np.add.at(want, rows, values)
+        assert np.allclose(got, want)
+
+
+def test_words_that_are_encoded_together(ranks, documents):
+    encode = lm.encoding(*ranks).encode_ordinary
+    of_texts = sorted({w for t in documents.values() for w in lm.words_of((t or "").encode())})
+    odd = ["'s", "it's", "'", "a\xa0", "\xa0b", "\xa0 ".strip(" "), "\x85", "x\x1c", "\u3000y", "1a2", "...", "漢字", "\U0001f600", "a" * 300, "\x00", "it", "'ll"]
+    for words in (of_texts, [w.encode() for w in odd], [w.encode() for w in odd if w.isprintable()], [b"\xff\xfe", b"ab"], []):
+        flat, length = lm.Vocabulary([], 50_256, *ranks).encoded(words)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(length))][:-1] == [encode(" " + w.decode("utf-8", "replace")) for w in words]
+
+
+@pytest.mark.parametrize("far", [0.0, -300.0, 300.0])
+def test_gradients_are_finite_where_logits_are_far(far):
+    net = lm.Attention(9)
+    net.w["b"] += np.float32(far)
+    ids = np.arange(2 * lm.WINDOW).reshape(2, -1) % 9
+    found = [net.gradients(ids, ids % lm.CLASSES, np.ones(ids.shape, np.float32)), {"p": net.log_p(ids, ids)}]
+    plain_net = lm.Attention(9)
+    want = [plain_net.gradients(ids, ids % lm.CLASSES, np.ones(ids.shape, np.float32)), {"p": plain_net.log_p(ids, ids)}]
+    for f, w in zip(found, want):
+        assert all(np.allclose(f[n], w[n], atol=1e-4) for n in w)

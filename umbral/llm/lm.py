@@ -49,6 +49,8 @@ CHUNK, DOCUMENTS = 32, 128
 ROWS = 50_000
 #: Scores and logits up to this need no maximum taken off before exp in 32 bits.
 SAFE = 40.0
+#: Words that are encoded as one text. No effect on results.
+JOINED = 1_000
 
 RARE, WORD, ID, TOTAL = 0, 1, 2, 3
 
@@ -62,17 +64,37 @@ class Vocabulary:
 
     def __init__(self, words: list[bytes], end: int, path: str, pattern: str):
         self.words, self.path, self.pattern = words, path, pattern
+        self.opens: np.ndarray | None = None
         self.number: dict[bytes | None, int] = {w: i for i, w in enumerate(words)}
         self.number[None] = len(words)
         flat, self.length = self.encoded(words)
+        self.opens = None
         self.flat, self.length = np.append(flat, end).astype(np.int32), np.append(self.length, 1)
         self.offset = np.cumsum(self.length) - self.length
 
     def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after another, and how many each has."""
-        encode = encoding(self.path, self.pattern).encode_ordinary
-        found = [encode(" " + w.decode("utf-8", "replace")) for w in words]
-        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+        encoder = encoding(self.path, self.pattern)
+        encode = encoder.encode_ordinary
+        if self.opens is None:  # ids that begin with a space
+            found = encoder.token_byte_values()
+            self.opens = np.zeros(1 + max(map(encoder.encode_single_token, found)), bool)
+            self.opens[[encoder.encode_single_token(t) for t in found if t[:1] == b" "]] = True
+        flat, length = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), JOINED):
+            some = [" " + w.decode("utf-8", "replace") for w in words[at : at + JOINED]]
+            text = "".join(some)
+            # With no white space but the one before each word, no match reaches from word to word, and a space opens each.
+            ids = np.array(encode(text), np.int32) if text.isprintable() else flat[0]
+            head = np.flatnonzero(self.opens[ids])
+            if len(head) == len(some) and not head[0]:
+                n = np.diff(np.append(head, len(ids)))
+            else:
+                found = list(map(encode, some))
+                ids, n = np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+            flat.append(ids)
+            length.append(n)
+        return np.concatenate(flat), np.concatenate(length)
 
     def places(self, words: list[bytes | None]) -> np.ndarray:
         """Numbers of words; -1 for those that are not frequent."""
@@ -89,7 +111,9 @@ class Vocabulary:
 
 def neighbours(follow: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids of sequences, ascending, how often they occur, and how often hashed ids stand before and after them."""
-    seen, place, count = np.unique(follow, return_inverse=True, return_counts=True)
+    count = np.bincount(follow, minlength=1)
+    seen = np.flatnonzero(count)
+    place, count = (np.cumsum(count > 0) - 1)[follow], count[seen]
     near = (np.append(follow, end).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
     near, of_end = near[:-1], near[-1]
     last = np.cumsum(lengths) - 1
@@ -133,6 +157,15 @@ def windows(lengths: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np
     return starts, seq, np.where(k > 0, overlap, 0)
 
 
+def summed(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Adds each of values to the row of out that rows names."""
+    if len(rows):
+        order = np.argsort(rows.astype(np.uint16) if len(out) <= 1 << 16 else rows, kind="stable")
+        rows = rows[order]
+        head = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        out[rows[head]] += np.add.reduceat(values[order], head)
+
+
 class Attention:
     """One causal self-attention layer over ids; predicts classes."""
 
@@ -146,13 +179,12 @@ class Attention:
     def forward(self, ids: np.ndarray) -> tuple:
         """x, q, k, v, attention, y, logits of windows of ids."""
         w, shape = self.w, (*ids.shape, -1)
-        x = w["e"][ids]
+        x = np.take(w["e"], ids, axis=0)
         x += w["p"]
         qkv = (x.reshape(-1, WIDTH) @ w["qkv"]).reshape(shape)
         q, k, v = np.split(qkv, 3, axis=2)
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= np.asarray(WIDTH**-0.5, a.dtype)
-        if not self.safe:
+        a = np.matmul(q * np.asarray(WIDTH**-0.5, q.dtype), k.transpose(0, 2, 1))
+        if not self.safe and not (a.max() < SAFE and a.min() > -SAFE):
             a -= np.where(self.seen > 0, a, -np.inf).max(2, keepdims=True)
             np.minimum(a, 0, out=a)  # what is masked may lie above; it must not overflow
         np.exp(a, out=a)
@@ -172,42 +204,58 @@ class Attention:
         logit = (x + x * v) * float(np.linalg.norm(self.w["out"], axis=0).max(initial=0)) + float(np.abs(self.w["b"][real]).max(initial=0))
         self.safe = score < SAFE and logit < SAFE
 
-    def log_p(self, ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """log10 p(class) at each place."""
-        z = self.forward(ids)[-1]
-        own = np.take_along_axis(z, classes[..., None], 2)[..., 0]
-        if not self.safe:
+    def powers(self, z: np.ndarray) -> tuple[np.ndarray | float, np.ndarray]:
+        """Turns logits into e to the power of each, less what is returned first; then the sums over classes."""
+        top = 0.0
+        # Where the first class that has ids is not far below 0, no sum is too small.
+        if not self.safe and not (z.max() < SAFE and z[..., int(np.argmax(self.w["b"] > -1e8))].min() > -SAFE):
             top = z.max(2)
             z -= top[..., None]
-            own -= top
         np.exp(z, out=z)
-        own -= np.log(z @ np.ones(CLASSES, z.dtype))
+        return top, z @ np.ones(CLASSES, z.dtype)
+
+    def log_p(self, ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """log10 p(class) at each place."""
+        z = self.forward(ids)[-1]
+        own = z.reshape(-1)[np.arange(classes.size) * CLASSES + classes.ravel()].reshape(classes.shape)
+        top, total = self.powers(z)
+        own -= top
+        own -= np.log(total)
         own *= np.float32(1 / np.log(10))
         return own
 
-    def gradients(self, ids: np.ndarray, targets: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
+    def backward(self, ids: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """The gradients for the embedding at each place, and for the other weights; `real`: the weight of each place in the loss."""
         x, q, k, v, a, y, z = self.forward(ids)
-        z -= z.max(2, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(2, keepdims=True)
-        np.put_along_axis(z, targets[..., None], np.take_along_axis(z, targets[..., None], 2) - 1, 2)
-        z *= real[..., None] / np.float32(max(1, real.sum()))
-        dy = z @ self.w["out"].T
-        da = np.matmul(dy, v.transpose(0, 2, 1))
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dy)], axis=2)
-        dx = dy + dqkv @ self.w["qkv"].T
         flat = lambda t: t.reshape(-1, t.shape[-1])
+        total = self.powers(z)[1]
+        z *= (real / total)[..., None].astype(z.dtype)
+        z.reshape(-1)[np.arange(targets.size) * CLASSES + targets.ravel()] -= real.ravel()
+        dy = (flat(z) @ self.w["out"].T).reshape(x.shape)
+        ds = np.matmul(dy, v.transpose(0, 2, 1))
+        # The sum of da * a over a row, by y less its residual.
+        ds -= np.einsum("ijk,ijk->ij", dy, y - x)[..., None]
+        ds *= a
+        ds *= np.asarray(WIDTH**-0.5, ds.dtype)
+        dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dy)], axis=2)
+        dx = dy + (flat(dqkv) @ self.w["qkv"].T).reshape(x.shape)
+        return flat(dx), {"p": dx.sum(0), "qkv": flat(x).T @ flat(dqkv), "out": flat(y).T @ flat(z), "b": np.ones(targets.size, z.dtype) @ flat(z)}
+
+    def gradients(self, ids: np.ndarray, targets: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
+        """Those of the mean loss over the places where `real` is 1."""
+        at, found = self.backward(ids, targets, real / real.dtype.type(max(1, real.sum())))
         de = np.zeros_like(self.w["e"])
-        np.add.at(de, ids.ravel(), flat(dx))
-        return {"e": de, "p": dx.sum(0), "qkv": flat(x).T @ flat(dqkv), "out": flat(y).T @ flat(z), "b": flat(z).sum(0)}
+        summed(de, ids.ravel(), at)
+        return {"e": de, **found}
 
     def fit(self, ids: np.ndarray, targets: np.ndarray, real: np.ndarray, seed: int = 2, epochs: int = EPOCHS) -> None:
         """Adam on windows of ids, the classes that follow, and which of these count."""
         rng = np.random.default_rng(seed)
         # Embeddings of other ids have no gradient.
-        whole, (seen, places) = self.w["e"], np.unique(ids, return_inverse=True)
-        self.w["e"], ids = whole[seen], places.reshape(ids.shape)
+        whole, seen = self.w["e"], np.flatnonzero(np.bincount(ids.ravel(), minlength=1))
+        places = np.zeros(len(whole), np.int64)
+        places[seen] = np.arange(len(seen))
+        self.w["e"], ids = whole[seen], places[ids]
         m, s = ({n: np.zeros_like(x) for n, x in self.w.items()} for _ in range(2))
         steps = epochs * -(-len(ids) // BATCH)
         t = 0
@@ -217,14 +265,26 @@ class Attention:
                 some = order[at : at + BATCH]
                 t += 1
                 rate = RATE * (1 - (t - 1) / steps) * (1 - 0.999**t) ** 0.5 / (1 - 0.9**t)
-                total, n_real = {n: np.zeros_like(x) for n, x in self.w.items()}, max(1, real[some].sum())
+                total, weight = {n: np.zeros_like(x) for n, x in self.w.items()}, np.float32(1 / max(1, real[some].sum()))
+                rows = []
                 for part in np.split(some, range(CHUNK, len(some), CHUNK)):
-                    for n, g in self.gradients(ids[part], targets[part], real[part]).items():
-                        total[n] += g * np.float32(real[part].sum() / n_real)
+                    dx, found = self.backward(ids[part], targets[part], real[part] * weight)
+                    rows.append(dx)
+                    for n, g in found.items():
+                        total[n] += g
+                summed(total["e"], ids[some].ravel(), np.concatenate(rows))
                 for n, g in total.items():
-                    m[n] += 0.1 * (g - m[n])
-                    s[n] += 0.001 * (g * g - s[n])
-                    self.w[n] -= (rate * m[n] / (np.sqrt(s[n]) + 1e-8)).astype(np.float32)
+                    m[n] *= 0.9
+                    m[n] += g * np.float32(0.1)
+                    s[n] *= 0.999
+                    np.square(g, out=g)
+                    g *= np.float32(0.001)
+                    s[n] += g
+                    np.sqrt(s[n], out=g)
+                    g += np.float32(1e-8)
+                    np.divide(m[n], g, out=g)
+                    g *= np.float32(rate)
+                    self.w[n] -= g
         whole[seen] = self.w["e"]
         self.w["e"] = whole
 
@@ -262,7 +322,8 @@ class Model:
         """Goes on fitting the weights, once over all the sequences, each id of which counts once; the ids before, and how often."""
         ids, targets, real, _ = self.laid_out(follow, lengths, 0)
         self.net.fit(ids, self.classes[targets], real.astype(np.float32), epochs=1)
-        return np.unique(ids[real], return_counts=True)
+        count = np.bincount(ids[real], minlength=1)
+        return np.flatnonzero(count), count[count > 0]
 
     def laid_out(self, follow: np.ndarray, lengths: np.ndarray, overlap: int = OVERLAP) -> tuple:
         """Windows of the ids before, of the ids that follow, which of these are scored, and the sequence of each window.
