@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,46 @@ def test_gradients_are_finite_where_logits_are_far(far):
     want = [plain_net.gradients(ids, ids % lm.CLASSES, np.ones(ids.shape, np.float32)), {"p": plain_net.log_p(ids, ids)}]
     for f, w in zip(found, want):
         assert all(np.allclose(f[n], w[n], atol=1e-4) for n in w)
+
+
+def test_texts_are_read_three_times_only(spark, ranks):
+    """Once to count, once for the sample, once for all else: words, ids, neighbours, gradients and scores."""
+    df = spark.createDataFrame([(i, f"some text number {i}") for i in range(20)], "doc_id long, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    assert run(df.mapInArrow(counted, df.schema), ranks).count() == 20
+    assert read.value <= 3 * 20
+
+
+def test_reader_gives_words_and_ids_of_texts(ranks, documents, monkeypatch):
+    odd = [b"", b" ", b"  a B\tb ", b"\xff\xfe X\x1cy\x0bz\x85", "\u00c9t\u00e9 \u3000x \xa0".encode(), b"a a a", b"new new old"]
+    texts = [*((t or "").encode() for t in documents.values()), *odd]
+    v = lm.Vocabulary([b"the", b"a", b"of"], 50_256, *ranks)
+    monkeypatch.setattr(lm, "MET", 50)
+    monkeypatch.setattr(lm, "READ", 10_000)
+    whole, reader = pa.array([b"before", *texts], pa.binary()).slice(1), lm.Reader(v)
+    at = 0
+    for start, m in lm.slices(whole):
+        assert start == at
+        at += m
+        ids, n_ids, places, n, rare, which = reader.read(whole.slice(start, m))
+        words = [lm.words_of(t) for t in texts[start : start + m]]
+        flat = [w for x in words for w in x]
+        assert n.tolist() == [len(x) for x in words] and places.tolist() == v.places(flat).tolist()
+        assert [rare[i] for i in which] == [w for w in flat if w not in v.number]
+        want = [v.ids(x, v.places(x))[0].tolist() for x in ([*x, None] for x in words)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n_ids))][:-1] == want
+    assert at == len(texts)
+
+
+def test_places_before_the_first_need_no_scores():
+    net = lm.Attention(9)
+    ids, classes = np.arange(3 * lm.WINDOW).reshape(3, -1) % 9, np.arange(3 * lm.WINDOW).reshape(3, -1) % 40
+    for safe in (False, True):
+        net.safe = safe
+        assert np.allclose(net.log_p(ids, classes)[:, 8:], net.log_p(ids, classes[:, 8:], 8), atol=1e-6)

@@ -13,22 +13,25 @@ the weights a start. From there all learning documents, dealt by hash into shard
 in whole, shard by shard; each id's embedding becomes the mean of those of the shards, weighted by how often
 they have it, and each other weight the mean weighted by ids. Shards and their order do not depend on partitions.
 
-Counting needs one shuffle. Words that are frequent in the sample (at most FREQUENT of them, so
-their table has a bounded size) are summed inside tasks; each other word of a document is a row dealt by word, where
-its count is a sum over rows. Which words count as frequent has no effect on results.
+Texts are read as words and ids once; what is kept of a document is its ids and the numbers of its frequent words. Words
+that are frequent in the sample (at most FREQUENT of them, so their table has a bounded size) are summed inside tasks.
+All others go, packed with the places of their documents, to the part of their hash, where each is counted and from
+where sums go back to the documents. Which words count as frequent has no effect on results.
 
 A null text is the empty one: just an end. Repeated rows count, and are scored, each for itself. With no
 learning documents all counts are 0 and the model is uniform. Empty tables are allowed.
 """
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import encoding
@@ -45,14 +48,18 @@ BINS = 64
 EPOCHS, BATCH, RATE = 4, 256, 6e-3
 #: Windows and documents that are scored at once; so few windows that what they need stays in a core's cache. No effect on results.
 CHUNK, DOCUMENTS = 32, 128
-#: Rows of words that a task holds before it sends them.
-ROWS = 50_000
+#: Windows whose gradients are found at once. No effect on results but by rounding.
+LEARNED = 128
+#: Bytes of text that are read at once, and words a task remembers the ids of beside the frequent ones. No effect on results.
+READ, MET = 4 << 20, 200_000
+#: Rows of words that a task holds before it sends them, and bytes of text for each part that words are dealt to.
+ROWS, PART = 50_000, 16 << 20
 #: Scores and logits up to this need no maximum taken off before exp in 32 bits.
 SAFE = 40.0
 #: Words that are encoded as one text. No effect on results.
 JOINED = 1_000
 
-RARE, WORD, ID, TOTAL = 0, 1, 2, 3
+DOCUMENT, RARE, WORD, NEAR = 0, 1, 2, 3
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -109,6 +116,69 @@ class Vocabulary:
         return np.concatenate([self.flat, flat])[at], n
 
 
+class Reader:
+    """Reads texts; remembers the ids of words that were met and are not frequent."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.frequent = v, pa.array(v.words, pa.binary())
+        self.forget()
+
+    def forget(self) -> None:
+        self.met: dict[bytes, int] = {}
+        self.flat, self.length, self.offset = self.v.flat, self.v.length, self.v.offset
+
+    def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts, as words_of() gives them, and how many each has."""
+        # As strings, without a look at their encoding: only A-Z and white space matter.
+        texts = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        n, flat = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten()
+        flat = pa.Array.from_buffers(pa.binary(), len(flat), flat.buffers(), offset=flat.offset)
+        empty = pc.binary_length(flat).to_numpy() == 0  # before leading white space and after trailing
+        if empty.any():
+            n -= np.bincount(np.repeat(np.arange(len(n)), n)[empty], minlength=len(n))
+            flat = flat.filter(pa.array(~empty))
+        return flat, n
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """Of all texts: ids with ends, how many each has; numbers of words (-1: not frequent), how many each has; the other words, and which of them stands at each -1."""
+        words, n = self.words(texts)
+        places = pc.fill_null(pc.index_in(words, value_set=self.frequent), -1).to_numpy().astype(np.int32)
+        rare = np.flatnonzero(places < 0)
+        coded = words.take(pa.array(rare)).dictionary_encode()
+        others, which = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        if len(self.met) > MET:
+            self.forget()
+        new = [w for w in others if w not in self.met]
+        if new:
+            flat, length = self.v.encoded(new)
+            self.met.update(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
+            self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(length) - length])
+            self.flat, self.length = np.concatenate([self.flat, flat]).astype(np.int32), np.concatenate([self.length, length])
+        number = np.full(len(words) + len(n), len(self.v.words))
+        ends = np.cumsum(n + 1) - 1
+        inner = np.ones(len(number), bool)
+        inner[ends] = False
+        own = places.astype(np.int64)
+        own[rare] = np.fromiter(map(self.met.get, others), np.int64, len(others))[which]
+        number[inner] = own
+        length = self.length[number]
+        total = np.cumsum(length)
+        at = np.repeat((self.offset[number] - total + length).astype(np.int32), length)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at], np.add.reduceat(length, ends - n), places, n, others, which
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of texts of about READ bytes."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + READ, "right")))
+        yield at, end - at
+        at = end
+
+
 def neighbours(follow: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids of sequences, ascending, how often they occur, and how often hashed ids stand before and after them."""
     count = np.bincount(follow, minlength=1)
@@ -163,7 +233,7 @@ def summed(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(rows.astype(np.uint16) if len(out) <= 1 << 16 else rows, kind="stable")
         rows = rows[order]
         head = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        out[rows[head]] += np.add.reduceat(values[order], head)
+        out[rows[head]] += np.add.reduceat(np.take(values, order, axis=0), head)
 
 
 class Attention:
@@ -176,23 +246,36 @@ class Attention:
         self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))
         self.safe = False
 
-    def forward(self, ids: np.ndarray) -> tuple:
-        """x, q, k, v, attention, y, logits of windows of ids."""
-        w, shape = self.w, (*ids.shape, -1)
+    def scaled(self) -> np.ndarray:
+        """The weights of q, k and v, with the scale of scores in those of q."""
+        out = self.w["qkv"].copy()
+        out[:, :WIDTH] *= np.asarray(WIDTH**-0.5, out.dtype)
+        return out
+
+    def forward(self, ids: np.ndarray, first: int = 0) -> tuple:
+        """x, q, k, v, attention before it is divided by its sums, these, y, logits of windows of ids; q and what comes of it from place `first` on."""
+        found = self.attended(ids, first)
+        z = (found[-1].reshape(-1, WIDTH) @ self.w["out"]).reshape(len(ids), -1, CLASSES)
+        z += self.w["b"]
+        return *found, z
+
+    def attended(self, ids: np.ndarray, first: int) -> tuple:
+        w = self.w
         x = np.take(w["e"], ids, axis=0)
         x += w["p"]
-        qkv = (x.reshape(-1, WIDTH) @ w["qkv"]).reshape(shape)
-        q, k, v = np.split(qkv, 3, axis=2)
-        a = np.matmul(q * np.asarray(WIDTH**-0.5, q.dtype), k.transpose(0, 2, 1))
+        qkv = (x.reshape(-1, WIDTH) @ self.scaled()).reshape(*ids.shape, -1)
+        q, k, v = qkv[:, first:, :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+        a = np.matmul(q, k.transpose(0, 2, 1))
         if not self.safe and not (a.max() < SAFE and a.min() > -SAFE):
-            a -= np.where(self.seen > 0, a, -np.inf).max(2, keepdims=True)
+            a -= np.where(self.seen[first:] > 0, a, -np.inf).max(2, keepdims=True)
             np.minimum(a, 0, out=a)  # what is masked may lie above; it must not overflow
         np.exp(a, out=a)
-        a *= self.seen
-        a /= np.matmul(a, np.ones((WINDOW, 1), a.dtype))
+        a *= self.seen[first:]
+        sums = np.matmul(a, np.ones((WINDOW, 1), a.dtype))
         y = np.matmul(a, v)
-        y += x
-        return x, q, k, v, a, y, (y.reshape(-1, WIDTH) @ w["out"]).reshape(shape) + w["b"]
+        y /= sums
+        y += x[:, first:]
+        return x, q, k, v, a, sums, y
 
     def bounded(self) -> None:
         """Finds whether no scores or logits of any ids can be so large that exp needs care."""
@@ -214,32 +297,45 @@ class Attention:
         np.exp(z, out=z)
         return top, z @ np.ones(CLASSES, z.dtype)
 
-    def log_p(self, ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """log10 p(class) at each place."""
-        z = self.forward(ids)[-1]
-        own = z.reshape(-1)[np.arange(classes.size) * CLASSES + classes.ravel()].reshape(classes.shape)
-        top, total = self.powers(z)
-        own -= top
-        own -= np.log(total)
+    def log_p(self, ids: np.ndarray, classes: np.ndarray, first: int = 0) -> np.ndarray:
+        """log10 p(class) at each place from `first` on."""
+        own_at = np.arange(classes.size) * CLASSES + classes.ravel()
+        if self.safe:  # e to the power of a logit is that of its bias times that of the rest
+            z = self.attended(ids, first)[-1].reshape(-1, WIDTH) @ self.w["out"]
+            own = z.ravel()[own_at] + self.w["b"][classes.ravel()]
+            np.exp(z, out=z)
+            total = z @ np.exp(self.w["b"])
+        else:
+            z = self.forward(ids, first)[-1]
+            own = z.reshape(-1)[own_at]
+            top, total = self.powers(z)
+            own -= np.ravel(top)
+        own -= np.log(total.ravel())
         own *= np.float32(1 / np.log(10))
-        return own
+        return own.reshape(classes.shape)
 
     def backward(self, ids: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """The gradients for the embedding at each place, and for the other weights; `real`: the weight of each place in the loss."""
-        x, q, k, v, a, y, z = self.forward(ids)
+        x, q, k, v, a, sums, y, z = self.forward(ids)
         flat = lambda t: t.reshape(-1, t.shape[-1])
         total = self.powers(z)[1]
         z *= (real / total)[..., None].astype(z.dtype)
         z.reshape(-1)[np.arange(targets.size) * CLASSES + targets.ravel()] -= real.ravel()
         dy = (flat(z) @ self.w["out"].T).reshape(x.shape)
-        ds = np.matmul(dy, v.transpose(0, 2, 1))
+        part = dy / sums
+        ds = np.matmul(part, v.transpose(0, 2, 1))
         # The sum of da * a over a row, by y less its residual.
-        ds -= np.einsum("ijk,ijk->ij", dy, y - x)[..., None]
+        ds -= np.einsum("ijk,ijk->ij", part, y - x)[..., None]
         ds *= a
-        ds *= np.asarray(WIDTH**-0.5, ds.dtype)
-        dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dy)], axis=2)
-        dx = dy + (flat(dqkv) @ self.w["qkv"].T).reshape(x.shape)
-        return flat(dx), {"p": dx.sum(0), "qkv": flat(x).T @ flat(dqkv), "out": flat(y).T @ flat(z), "b": np.ones(targets.size, z.dtype) @ flat(z)}
+        dqkv = np.empty((*ids.shape, 3 * WIDTH), z.dtype)
+        dqkv[..., :WIDTH] = np.matmul(ds, k)
+        dqkv[..., WIDTH : 2 * WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
+        dqkv[..., 2 * WIDTH :] = np.matmul(a.transpose(0, 2, 1), part)
+        of_qkv = flat(x).T @ flat(dqkv)
+        of_qkv[:, :WIDTH] *= np.asarray(WIDTH**-0.5, z.dtype)
+        dx = (flat(dqkv) @ self.scaled().T).reshape(x.shape)
+        dx += dy
+        return flat(dx), {"p": dx.sum(0), "qkv": of_qkv, "out": flat(y).T @ flat(z), "b": np.ones(targets.size, z.dtype) @ flat(z)}
 
     def gradients(self, ids: np.ndarray, targets: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Those of the mean loss over the places where `real` is 1."""
@@ -267,27 +363,34 @@ class Attention:
                 rate = RATE * (1 - (t - 1) / steps) * (1 - 0.999**t) ** 0.5 / (1 - 0.9**t)
                 total, weight = {n: np.zeros_like(x) for n, x in self.w.items()}, np.float32(1 / max(1, real[some].sum()))
                 rows = []
-                for part in np.split(some, range(CHUNK, len(some), CHUNK)):
+                for part in np.split(some, range(LEARNED, len(some), LEARNED)):
                     dx, found = self.backward(ids[part], targets[part], real[part] * weight)
                     rows.append(dx)
                     for n, g in found.items():
                         total[n] += g
                 summed(total["e"], ids[some].ravel(), np.concatenate(rows))
                 for n, g in total.items():
-                    m[n] *= 0.9
-                    m[n] += g * np.float32(0.1)
-                    s[n] *= 0.999
-                    np.square(g, out=g)
-                    g *= np.float32(0.001)
-                    s[n] += g
-                    np.sqrt(s[n], out=g)
-                    g += np.float32(1e-8)
-                    np.divide(m[n], g, out=g)
-                    g *= np.float32(rate)
-                    self.w[n] -= g
+                    self.move(rate, self.w[n], m[n], s[n], g)
+                if t % 8 == 0:
+                    self.bounded()
         whole[seen] = self.w["e"]
         self.w["e"] = whole
 
+    @staticmethod
+    def move(rate: float, w: np.ndarray, m: np.ndarray, s: np.ndarray, g: np.ndarray) -> None:
+        """One step of Adam, in place; g is used up."""
+        m *= 0.9
+        m += g * np.float32(0.1)
+        s *= 0.999
+        np.square(g, out=g)
+        g *= np.float32(0.001)
+        s += g
+        np.sqrt(s, out=g)
+        g += np.float32(1e-8)
+        np.divide(m, g, out=g)
+        g *= np.float32(rate)
+        w -= g
+
 
 class Model:
     """Attention, classes and the log10 of p(id | class)."""
@@ -341,63 +444,37 @@ class Model:
 
     def scores(self, follow: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 probability of each sequence of ids."""
-        out = np.zeros(len(lengths))
-        ids, follow, real, seq = self.laid_out(follow, lengths)
-        for a in range(0, len(ids), CHUNK):
-            b = a + CHUNK
-            p = self.net.log_p(ids[a:b], self.classes[follow[a:b]]) + self.within[follow[a:b]]
-            out += np.bincount(seq[a:b], np.einsum("ij,ij->i", p, real[a:b]), len(lengths))
-        return out
-
-
-def sequences(v: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, one after another, each with its end, and how many each has."""
-    found = [[*words_of(t), None] for t in texts]
-    tokens = list(chain.from_iterable(found))
-    ids, n = v.ids(tokens, v.places(tokens))
-    return ids.astype(np.int64), np.add.reduceat(n, np.cumsum([0, *map(len, found)])[:-1])
-
-
-def learned_classes(taught: DataFrame, vocabulary, size: int, end: int) -> np.ndarray:
-    """Classes by the neighbours that ids have in all texts of `taught`."""
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, place, count, f = rebuilt(vocabulary.value, Vocabulary), np.full(size, -1), np.zeros(0, np.int64), np.zeros((0, 2 * BINS), np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, DOCUMENTS):
-                seen, n, near = neighbours(*sequences(v, b.column(0).slice(at, DOCUMENTS).to_pylist()), end)
-                new = seen[place[seen] < 0]
-                place[new] = len(count) + np.arange(len(new))
-                count, f = np.append(count, np.zeros(len(new), np.int64)), np.concatenate([f, np.zeros((len(new), 2 * BINS), np.int64)])
-                count[place[seen]] += n
-                f[place[seen]] += near
-        ids = np.flatnonzero(place >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(ids // IDS, pa.int32()), pa.array(ids, pa.int32()), pa.array(count[place[ids]], pa.int64()), pa.array([x.tobytes() for x in f[place[ids]]], pa.binary())], names=["block", "id", "count", "near"])
-
-    def total(t: pa.Table) -> pa.Table:
-        ids, at = np.unique(t.column("id").to_numpy(), return_inverse=True)
-        count, f = np.zeros(len(ids), np.int64), np.zeros((len(ids), 2 * BINS), np.int64)
-        np.add.at(count, at, t.column("count").to_numpy())
-        for i, x in zip(at, t.column("near"), strict=True):
-            f[i] += np.frombuffer(x.as_py(), np.int64)
-        return pa.Table.from_arrays([pa.array(ids, pa.int32()), pa.array(count), pa.array([x.tobytes() for x in f], pa.binary())], names=["id", "count", "near"])
-
-    found = taught.select("text").mapInArrow(sums, "block int, id int, count long, near binary").groupBy("block").applyInArrow(total, "id int, count long, near binary")
-    rows = sorted(found.toLocalIterator())  # at most `size`
-    f = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.int64).reshape(-1, 2 * BINS)
-    return classes_of(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), f, size)
-
-
-def learn_all(taught: DataFrame, n_taught: int, vocabulary, model: Model) -> None:
-    """Sets the model's weights to the means of those that the shards of all rows of `taught` lead to."""
+        starts = np.cumsum(lengths) - lengths
+        ids, after, real, seq = self.laid_out(follow, lengths)
+        found = np.zeros(len(ids))
+        # Windows but the first of a sequence score nothing before place OVERLAP.
+        for first, some in ((0, np.flatnonzero(real[:, 0])), (OVERLAP, np.flatnonzero(~real[:, 0]))):
+            for part in (some[at : at + CHUNK] for at in range(0, len(some), CHUNK)):
+                p = self.net.log_p(ids[part], self.classes[after[part, first:]], first)
+                found[part] = np.einsum("ij,ij->i", p, real[part, first:])
+        return np.bincount(seq, found, len(lengths)) + np.add.reduceat(self.within[follow], starts)
+
+
+def summed_up(t: pa.Table) -> pa.Table:
+    """One row for those of a part: positions, ascending, and the sums of the rows of integers that go with them."""
+    a, c = ([np.frombuffer(x.as_py(), np.int64) for x in t.column(n)] for n in "ac")
+    at = np.unique(np.concatenate(a))
+    out = np.zeros((len(at), len(c[0]) // len(a[0])), np.int64)
+    for x, y in zip(a, c, strict=True):
+        out[np.searchsorted(at, x)] += y.reshape(len(x), -1)
+    return pa.Table.from_arrays([pa.array([t.column("kind")[0].as_py()], pa.int8()), pa.array([t.column("part")[0].as_py()], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([out.tobytes()], pa.binary())], names=["kind", "part", "a", "c"])
+
+
+def learn_all(taught: DataFrame, n_taught: int, model: Model, kind: type) -> None:
+    """Sets the model's weights to the means of those that the shards of all rows of `taught`, key and a (ids), lead to."""
     start, shards = taught.sparkSession.sparkContext.broadcast(plain(model)), -(-n_taught // SHARD)
     others = [n for n in model.net.w if n != "e"]
 
     def fit(t: pa.Table) -> pa.Table:
-        v, model = rebuilt(vocabulary.value, Vocabulary), rebuilt(start.value, Model, Attention)
+        model = rebuilt(start.value, Model, Attention)
         model.net.w = {n: x.copy() for n, x in model.net.w.items()}
-        order = np.argsort(t.column("key").to_numpy(), kind="stable")
-        ids, count = model.more(*sequences(v, t.column("text").take(pa.array(order)).to_pylist()))
+        texts = [np.frombuffer(t.column("a")[int(i)].as_py(), kind) for i in np.argsort(t.column("key").to_numpy(), kind="stable")]
+        ids, count = model.more(np.concatenate(texts).astype(np.int64), np.array([len(x) for x in texts]))
         block = ids // IDS
         rows = [(int(b), ids[block == b], count[block == b], model.net.w["e"][ids[block == b]]) for b in np.unique(block)]
         rows.append((-1, np.zeros(1, np.int64), count.sum(keepdims=True), np.concatenate([model.net.w[n].ravel() for n in others])))
@@ -405,15 +482,17 @@ def learn_all(taught: DataFrame, n_taught: int, vocabulary, model: Model) -> Non
         return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([shard] * len(rows), pa.int64()), *(pa.array([r[i].astype(k).tobytes() for r in rows], pa.binary()) for i, k in ((1, np.int64), (2, np.int64), (3, np.float32)))], names=["block", "shard", "ids", "count", "value"])
 
     def mean(t: pa.Table) -> pa.Table:
-        whole, weight = {}, {}
-        for i in np.argsort(t.column("shard").to_numpy(), kind="stable"):
-            ids, count = (np.frombuffer(t.column(c)[i].as_py(), np.int64) for c in ("ids", "count"))
-            for id_, n, x in zip(ids.tolist(), count.tolist(), np.frombuffer(t.column("value")[i].as_py(), np.float32).reshape(len(ids), -1), strict=True):
-                whole[id_] = whole.get(id_, 0.0) + n * x.astype(np.float64)
-                weight[id_] = weight.get(id_, 0) + n
-        return pa.Table.from_arrays([pa.array([t.column("block")[0].as_py()] * len(whole), pa.int32()), pa.array(list(whole), pa.int32()), pa.array([(x / weight[i]).astype(np.float32).tobytes() for i, x in whole.items()], pa.binary())], names=["block", "id", "value"])
-
-    dealt = taught.select("text", "key", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)).alias("shard"))
+        rows = [[np.frombuffer(t.column(c)[int(i)].as_py(), k) for c, k in (("ids", np.int64), ("count", np.int64), ("value", np.float32))] for i in np.argsort(t.column("shard").to_numpy(), kind="stable")]
+        at = np.unique(np.concatenate([r[0] for r in rows]))
+        whole, weight = np.zeros((len(at), len(rows[0][2]) // len(rows[0][0]))), np.zeros(len(at), np.int64)
+        for ids, count, value in rows:
+            i = np.searchsorted(at, ids)
+            whole[i] += count[:, None] * value.reshape(len(ids), -1).astype(np.float64)
+            weight[i] += count
+        out = (whole / weight[:, None]).astype(np.float32)
+        return pa.Table.from_arrays([pa.array([t.column("block")[0].as_py()] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array([x.tobytes() for x in out], pa.binary())], names=["block", "id", "value"])
+
+    dealt = taught.select("a", "key", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)).alias("shard"))
     found = dealt.groupBy("shard").applyInArrow(fit, "block int, shard long, ids binary, count binary, value binary")
     for block, id_, value in found.groupBy("block").applyInArrow(mean, "block int, id int, value binary").toLocalIterator():  # as many floats as the model has
         x = np.frombuffer(bytes(value), np.float32)
@@ -425,6 +504,36 @@ def learn_all(taught: DataFrame, n_taught: int, vocabulary, model: Model) -> Non
     model.net.bounded()
 
 
+def judged(t: pa.Table) -> pa.Table:
+    """For each block of documents, of the words of one part: documents, their sums of log10(c + 1) and of known words; and, in block -1, how many words were learned."""
+    some, pairs, n = [], [], 0
+    for a, b, c in zip(t.column("a"), t.column("b"), t.column("c"), strict=True):
+        length = np.frombuffer(b.as_py(), np.int32)
+        offset = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        some.append(pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offset.astype(np.int64)), a.as_buffer()]))
+        pairs.append(np.frombuffer(c.as_py(), np.int32).reshape(3, -1).astype(np.int64))
+        pairs[-1][0] += n
+        n += len(length)
+    coded = pa.concat_arrays(some).dictionary_encode()
+    which = coded.indices.to_numpy().astype(np.int64)
+    word, tf = (np.concatenate([x[i] for x in pairs]) for i in (0, 2))
+    c = np.bincount(which[word], np.maximum(tf, 0), len(coded.dictionary))
+    log_c = np.log10(c + 1.0)
+    rows = [(-1, np.array([(c > 0).sum()]), np.zeros(0), np.zeros(0))]
+    for block, (word, doc, tf) in zip(t.column("block").to_pylist(), pairs, strict=True):
+        own, tf = which[word], np.abs(tf)
+        docs = np.flatnonzero(np.bincount(doc))
+        rows.append((block, docs, np.bincount(doc, tf * log_c[own])[docs], np.bincount(doc, tf * (c[own] > 0))[docs]))
+    return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i].astype(k).tobytes() for r in rows], pa.binary()) for i, k in ((1, np.int64), (2, np.float64), (3, np.int64)))], names=["block", "a", "b", "c"])
+
+
+def gathered(t: pa.Table) -> pa.Table:
+    """Sums of what all parts say of the documents of one block."""
+    a, b, c = (np.concatenate([np.frombuffer(x.as_py(), k) for x in t.column(n)]) for n, k in (("a", np.int64), ("b", np.float64), ("c", np.int64)))
+    docs = np.flatnonzero(np.bincount(a))
+    return pa.Table.from_arrays([pa.array(t.column("block")[0].as_py() + docs), pa.array(np.bincount(a, b)[docs]), pa.array(np.bincount(a, c)[docs].astype(np.int64))], names=["row", "rare_log", "rare_known"])
+
+
 def score(docs: DataFrame, learn: Column, path: str, pattern: str, size: int, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id_col, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -434,10 +543,10 @@ def score(docs: DataFrame, learn: Column, path: str, pattern: str, size: int, en
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), F.xxhash64(F.col(id_col), text, F.length(text)).alias("key"), F.coalesce(learn, F.lit(False)).alias("learn"))
 
-    fitting = named.where("learn").where(F.length("text") <= SAMPLE_CHARS)
-    n_fitting = fitting.count()
+    short = F.length("text") <= SAMPLE_CHARS
+    n_taught, n_fitting, n_bytes = named.agg(F.count_if("learn"), F.count_if(F.col("learn") & short), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     draw = F.pmod(F.xxhash64(F.lit(2), "key"), F.lit(1 << 40))
-    some = fitting.where(draw < F.lit(int(min(1.0, 1.2 * SAMPLE_ROWS / max(1, n_fitting)) * (1 << 40)))).select(draw.alias("draw"), "text").collect()
+    some = named.where("learn").where(short).where(draw < F.lit(int(min(1.0, 1.2 * SAMPLE_ROWS / max(1, n_fitting)) * (1 << 40)))).select(draw.alias("draw"), "text").collect()
     sample = [words_of(r[1]) for r in sorted(some)[:SAMPLE_ROWS]]
     words = Vocabulary([w for w, _ in Counter(chain.from_iterable(sample)).most_common(FREQUENT)], end, path, pattern)
     vocabulary = spark.sparkContext.broadcast(plain(words))  # FREQUENT words at most
@@ -446,115 +555,129 @@ def score(docs: DataFrame, learn: Column, path: str, pattern: str, size: int, en
         if left > 0:
             texts.append(words.ids(text, words.places(text))[0].tolist())
             left -= len(texts[-1]) + 1
-    model, taught = Model(size, end), named.where("learn")
-    n_taught = taught.count()
-    model.fit(texts, learned_classes(taught, vocabulary, size, end) if n_taught else None)
-    if n_taught:
-        learn_all(taught, n_taught, vocabulary, model)
+    ids_kind, parts, rows_held = np.uint16 if size <= 1 << 16 else np.int32, 1 + n_bytes // PART, ROWS
+    names = ["kind", "id", "row", "key", "learn", "n_tokens", "part", "block", "a", "b", "c"]
+    kinds = [pa.int8(), None, pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (RARE, word, key, tf) for words that are not frequent, tf below 0 where they teach nothing; and the task's sums of all else."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents with their ids and frequent words; other words by part; and the task's sums of frequent words, of all words and of neighbours."""
         v = rebuilt(vocabulary.value, Vocabulary)
-        known, by_id, n_words, n_ends = np.zeros(len(v.words), np.int64), np.zeros(size), 0, 0
-        word, key, tf, n_rows = [], [], [], 0
-        taught: Counter = Counter()
+        reader, row = Reader(v), TaskContext.get().partitionId() << 40
+        known, place, near = np.zeros(len(v.words) + 1, np.int64), np.full(size, -1), np.zeros((0, 1 + 2 * BINS), np.int64)
+        others: dict[bytes, int] = {}
+        pairs, block, id_type = [], row, None
 
-        def packed(kind, word, key, tf):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(word), kind, np.int8)), pa.array(word, pa.binary()), pa.array(key, pa.int64()), pa.array(tf, pa.int64())], names=["kind", "word", "key", "tf"])
+        def packed(n, **columns):
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns and not isinstance(columns[c], pa.Array) else columns.get(c, pa.nulls(n, k or id_type)) for c, k in zip(names, kinds, strict=True)], names=names)
 
         def flushed():
-            flat, length = v.encoded(list(taught))
-            by_id[:] += np.bincount(flat, np.repeat(np.fromiter(taught.values(), np.float64, len(taught)), length), size)
-            taught.clear()
-            return packed(RARE, word, np.concatenate(key or [[]]).astype(np.int64), np.concatenate(tf or [[]]).astype(np.int64))
-
-        for b in batches:
-            for text, k, learns in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                counts = Counter(words_of(text.as_py()))
-                found = list(counts)
-                n, places = np.fromiter(counts.values(), np.int64, len(found)), v.places(found)
-                rare = np.flatnonzero(places < 0)
-                others = [found[i] for i in rare]
-                word += others
-                tf.append(n[rare] if learns else -n[rare])
-                key.append(np.full(len(rare), k))
-                if learns:
-                    n_words += int(n.sum())
-                    n_ends += 1
-                    seen = places >= 0
-                    known[places[seen]] += n[seen]
-                    for w, m in zip(others, n[rare].tolist(), strict=True):
-                        taught[w] += m
-                n_rows += len(rare)
-                if n_rows >= ROWS:
+            word, doc, tf = np.concatenate(pairs, axis=1)
+            listed = list(others)
+            part = np.fromiter(map(zlib.crc32, listed), np.int64, len(listed)) % parts
+            order = np.argsort(part, kind="stable")
+            first = np.searchsorted(part[order], np.arange(parts + 1))
+            new = np.empty(len(order), np.int64)
+            new[order] = np.arange(len(order))
+            word = new[word]
+            by_word = np.argsort(word, kind="stable")
+            word, doc, tf = word[by_word], doc[by_word], tf[by_word]
+            cuts, out = np.searchsorted(word, first), []
+            for p in np.flatnonzero(np.diff(first)):
+                own, at = [listed[i] for i in order[first[p] : first[p + 1]]], slice(cuts[p], cuts[p + 1])
+                out.append((p, b"".join(own), np.fromiter(map(len, own), np.int32, len(own)).tobytes(), np.stack([word[at] - first[p], doc[at], tf[at]]).astype(np.int32).tobytes()))
+            p, a, b, c = zip(*out, strict=True)
+            return packed(len(out), kind=[RARE] * len(out), part=p, block=[block] * len(out), a=a, b=b, c=c)
+
+        for batch in batches:
+            id_type = batch.column(0).type
+            whole = batch.column(1).cast(pa.binary())
+            for at, m in slices(whole):
+                ids, n_ids, places, n, rare, which = reader.read(whole.slice(at, m))
+                learns = batch.column(3).slice(at, m).to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(m), n)
+                frequent = places >= 0
+                known += np.bincount(places[frequent & learns[doc]], minlength=len(known))
+                known[-1] += n[learns].sum()
+                if learns.any():
+                    seen, count, f = neighbours(ids[np.repeat(learns, n_ids)].astype(np.int64), n_ids[learns], end)
+                    new = seen[place[seen] < 0]
+                    place[new] = len(near) + np.arange(len(new))
+                    near = np.concatenate([near, np.zeros((len(new), near.shape[1]), np.int64)])
+                    near[place[seen], 0] += count
+                    near[place[seen], 1:] += f
+                if len(rare):
+                    number = np.fromiter((others.setdefault(w, len(others)) for w in rare), np.int64, len(rare))
+                    one, tf = np.unique(doc[~frequent] * len(rare) + which, return_counts=True)
+                    of = one // len(rare)
+                    pairs.append(np.stack([number[one % len(rare)], of + (row - block), np.where(learns[of], tf, -tf)]))
+                few, many = frequent & (places < 1 << 16), places >= 1 << 16
+                cut = lambda x, n: [y.tobytes() for y in np.split(x, np.cumsum(n)[:-1])]
+                per_doc = lambda x, doc=doc, m=m: np.bincount(doc[x], minlength=m)
+                columns = {"a": cut(ids.astype(ids_kind), n_ids), "b": cut(places[few].astype(np.uint16), per_doc(few)), "c": cut(places[many], per_doc(many))}
+                yield packed(m, kind=[DOCUMENT] * m, id=batch.column(0).slice(at, m), row=row + np.arange(m), key=batch.column(2).slice(at, m), learn=batch.column(3).slice(at, m), n_tokens=n + 1, **columns)
+                row += m
+                if sum(x.shape[1] for x in pairs) >= rows_held:
                     yield flushed()
-                    word, key, tf, n_rows = [], [], [], 0
-        yield flushed()
-        by_id += np.bincount(v.flat[:-1], np.repeat(known, v.length[:-1]), size)
-        by_id[end] += n_ends
-        for kind, names, values in ((WORD, v.words, known), (ID, [b"%d" % i for i in range(size)], by_id), (TOTAL, [b"words", b"ends"], np.array([n_words, n_ends]))):
-            some = np.flatnonzero(values)
-            yield packed(kind, [names[i] for i in some], np.zeros(len(some), np.int64), values[some].astype(np.int64))
-
-    rows = named.select("text", "key", "learn").mapInArrow(count, "kind byte, word binary, key long, tf long")
-    one = W.partitionBy("kind", "word")
-    rows = rows.withColumns({"c": F.sum(F.greatest("tf", F.lit(0))).over(one), "n": F.row_number().over(one.orderBy("key"))})
-    label, tf = F.when(F.col("kind") > RARE, F.col("word")), F.abs("tf")
-    found = durable(
-        rows.groupBy("kind", "key", label.alias("label")).agg(
-            F.max(F.when(F.col("kind") > RARE, F.col("c"))).alias("c"),
-            F.sum(tf * F.log10(F.col("c") + 1.0)).alias("log_c"),
-            F.sum(F.when(F.col("c") > 0, tf).otherwise(0)).alias("known"),
-            F.sum(F.when((F.col("n") == 1) & (F.col("c") > 0), 1).otherwise(0)).alias("kinds"),
-        )
-    )
-
-    counts, by_id, totals = np.zeros(len(words.words), np.int64), np.zeros(size), {}
-    # At most FREQUENT words, `size` ids and two totals.
-    for r in found.where(F.col("kind") > RARE).select("kind", "label", "c").toLocalIterator():
-        if r[0] == WORD:
-            counts[words.number[bytes(r[1])]] = r[2]
-        elif r[0] == ID:
-            by_id[int(r[1])] = r[2]
+                if not pairs or sum(x.shape[1] for x in pairs) >= rows_held:
+                    others, pairs, block = {}, [], row
+        if id_type is None:
+            return
+        if pairs:
+            yield flushed()
+        seen = np.flatnonzero(place >= 0)
+        for kind, at, values in ((WORD, np.flatnonzero(known), known[known > 0][:, None]), (NEAR, seen, near[place[seen]])):
+            for p in np.unique(at // IDS):
+                mine = at // IDS == p
+                yield packed(1, kind=[kind], part=[p], a=[at[mine].astype(np.int64).tobytes()], c=[values[mine].tobytes()])
+
+    id_kind = named.schema["id"].dataType.simpleString()
+    found = durable(named.select("id", "text", "key", "learn").mapInArrow(read, f"kind byte, id {id_kind}, row long, key long, learn boolean, n_tokens long, part int, block long, a binary, b binary, c binary"))
+    documents = found.where(F.col("kind") == DOCUMENT)
+
+    counts, by_id, near = np.zeros(len(words.words) + 1, np.int64), np.zeros(size), []
+    # At most FREQUENT words and `size` ids.
+    for kind, part, at, values in found.where(F.col("kind") > RARE).select("kind", "part", "a", "c").groupBy("kind", "part").applyInArrow(summed_up, "kind byte, part int, a binary, c binary").toLocalIterator():
+        at = np.frombuffer(bytes(at), np.int64)
+        values = np.frombuffer(bytes(values), np.int64).reshape(len(at), -1)
+        if kind == WORD:
+            counts[at] = values[:, 0]
         else:
-            totals[bytes(r[1])] = r[2]
-    rare_kinds = found.where(F.col("kind") == RARE).agg(F.sum("kinds")).first()[0] or 0
-    n_ends = totals.get(b"ends", 0)
-    n = totals.get(b"words", 0) + n_ends
-    v = int((counts > 0).sum()) + rare_kinds + (n_ends > 0)
+            by_id[at] = values[:, 0]
+            near.append((part, at, values))
+    model = Model(size, end)
+    if n_taught:
+        near = [x[1:] for x in sorted(near, key=lambda x: x[0])]
+        seen, values = (np.concatenate([x[i] for x in near]) for i in (0, 1))
+        model.fit(texts, classes_of(seen, values[:, 0], values[:, 1:], size))
+        learn_all(documents.where("learn"), n_taught, model, ids_kind)
+    else:
+        model.fit(texts)
+
+    replies = durable(found.where(F.col("kind") == RARE).select("part", "block", "a", "b", "c").groupBy("part").applyInArrow(judged, "block long, a binary, b binary, c binary"))
+    rare_kinds = sum(int(np.frombuffer(bytes(r[0]), np.int64)[0]) for r in replies.where("block < 0").select("a").toLocalIterator())
+    rare = replies.where("block >= 0").groupBy("block").applyInArrow(gathered, "row long, rare_log double, rare_known long")
+    n = int(counts[-1]) + n_taught
+    v = int((counts[:-1] > 0).sum()) + rare_kinds + (n_taught > 0)
     model.counted(by_id)
-    # By a word's number: the end is the last but one, and what is not frequent (-1) adds nothing here.
-    counts = np.append(counts, n_ends)
-    shared = spark.sparkContext.broadcast(plain((model, np.append(np.log10(counts + 1.0), 0.0), np.append(counts > 0, False))))
+    shared = spark.sparkContext.broadcast(plain((model, np.log10(counts[:-1] + 1.0), counts[:-1] > 0)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, (model, log_c, is_known) = rebuilt(vocabulary.value, Vocabulary), rebuilt(shared.value, Model, Attention)
+        model, log_c, is_known = rebuilt(shared.value, Model, Attention)
         for b in batches:
             for at in range(0, b.num_rows, DOCUMENTS):
                 part = b.slice(at, DOCUMENTS)
-                tokens: list[bytes | None] = []
-                n_tokens = np.zeros(part.num_rows, np.int64)
-                for i, text in enumerate(part.column(1)):
-                    found = words_of(text.as_py())
-                    tokens += found
-                    tokens.append(None)
-                    n_tokens[i] = len(found) + 1
-                places = v.places(tokens)
-                ids, length = v.ids(tokens, places)
-                starts = np.cumsum(n_tokens) - n_tokens
-                per_text = lambda x, starts=starts: np.add.reduceat(x, starts)
-                found = (n_tokens, per_text(is_known[places].astype(np.int64)), per_text(log_c[places]), model.scores(ids.astype(np.int64), per_text(length)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, found)], names=["id", "key", "n_tokens", "n_known", "log_c", "score"])
-
-    kind = named.schema["id"].dataType.simpleString()
-    scored = named.select("id", "text", "key").mapInArrow(apply, f"id {kind}, key long, n_tokens long, n_known long, log_c double, score double")
-    # Equal rows share a key, whose sums are those of all of them.
-    scored = scored.withColumn("rows", F.count("*").over(W.partitionBy("key")))
-    rare = found.where(F.col("kind") == RARE).groupBy("key").agg(F.sum("log_c").alias("rare_log"), F.sum("known").alias("rare_known"))
+                texts = [np.frombuffer(x.as_py(), ids_kind) for x in part.column(3)]
+                places = [np.concatenate([np.frombuffer(x.as_py(), np.uint16), np.frombuffer(y.as_py(), np.int32)]) for x, y in zip(part.column(4), part.column(5), strict=True)]
+                flat, doc = np.concatenate(places).astype(np.int64), np.repeat(np.arange(len(places)), [len(x) for x in places])
+                scores = model.scores(np.concatenate(texts).astype(np.int64), np.array([len(x) for x in texts]))
+                found = (np.bincount(doc, is_known[flat], len(texts)).astype(np.int64) + (n_taught > 0), np.bincount(doc, log_c[flat], len(texts)) + np.log10(n_taught + 1.0), scores)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, found)], names=["id", "row", "n_tokens", "n_known", "log_c", "score"])
+
+    scored = documents.select("id", "row", "n_tokens", "a", "b", "c").mapInArrow(apply, f"id {id_kind}, row long, n_tokens long, n_known long, log_c double, score double")
     every = F.lit(float(np.log10(n + v + 1.0)))
-    out = scored.join(rare, "key", "left")
-    base = F.col("log_c") + F.coalesce(F.col("rare_log") / F.col("rows"), F.lit(0.0)) - F.col("n_tokens") * every
-    known = F.col("n_known") + F.coalesce(F.col("rare_known") / F.col("rows"), F.lit(0.0)).cast("long")
+    out = scored.join(rare, "row", "left")
+    base = F.col("log_c") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * every
+    known = F.col("n_known") + F.coalesce("rare_known", F.lit(0))
     return out.select(F.col("id").alias(id_col), "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
