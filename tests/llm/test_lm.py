@@ -243,3 +243,9 @@ def test_places_before_the_first_need_no_scores():
     for safe in (False, True):
         net.safe = safe
         assert np.allclose(net.log_p(ids, classes)[:, 8:], net.log_p(ids, classes[:, 8:], 8), atol=1e-6)
+
+
+@pytest.mark.parametrize(("most", "size"), [(0, 2), (32_767, 2), (32_768, 4), (2_000_000_000, 4)])
+def test_words_of_documents_are_packed_small(most, size):
+    x = np.array([[0, most], [1, 2], [-most, 3]])
+    assert len(lm.packed_small(x)) == 1 + size * x.size and (lm.unpacked(lm.packed_small(x)) == x).all()

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoding
-from .common import durable, plain, rebuilt
+from .common import durable, give_back, plain, rebuilt
 
 WINDOW, OVERLAP = 32, 8
 WIDTH, CLASSES = 16, 48
@@ -504,6 +504,16 @@ def learn_all(taught: DataFrame, n_taught: int, model: Model, kind: type) -> Non
     model.net.bounded()
 
 
+def packed_small(x: np.ndarray) -> bytes:
+    """Integers in three rows, of two bytes each where these do, else of four; the first byte tells."""
+    kind = np.int16 if np.abs(x).max(initial=0) < 1 << 15 else np.int32
+    return bytes([kind().itemsize]) + x.astype(kind).tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.int16 if x[0] == 2 else np.int32, offset=1).reshape(3, -1).astype(np.int64)
+
+
 def judged(t: pa.Table) -> pa.Table:
     """For each block of documents, of the words of one part: documents, their sums of log10(c + 1) and of known words; and, in block -1, how many words were learned."""
     some, pairs, n = [], [], 0
@@ -511,7 +521,7 @@ def judged(t: pa.Table) -> pa.Table:
         length = np.frombuffer(b.as_py(), np.int32)
         offset = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
         some.append(pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offset.astype(np.int64)), a.as_buffer()]))
-        pairs.append(np.frombuffer(c.as_py(), np.int32).reshape(3, -1).astype(np.int64))
+        pairs.append(unpacked(c.as_py()))
         pairs[-1][0] += n
         n += len(length)
     coded = pa.concat_arrays(some).dictionary_encode()
@@ -584,7 +594,7 @@ def score(docs: DataFrame, learn: Column, path: str, pattern: str, size: int, en
             cuts, out = np.searchsorted(word, first), []
             for p in np.flatnonzero(np.diff(first)):
                 own, at = [listed[i] for i in order[first[p] : first[p + 1]]], slice(cuts[p], cuts[p + 1])
-                out.append((p, b"".join(own), np.fromiter(map(len, own), np.int32, len(own)).tobytes(), np.stack([word[at] - first[p], doc[at], tf[at]]).astype(np.int32).tobytes()))
+                out.append((p, b"".join(own), np.fromiter(map(len, own), np.int32, len(own)).tobytes(), packed_small(np.stack([word[at] - first[p], doc[at], tf[at]]))))
             p, a, b, c = zip(*out, strict=True)
             return packed(len(out), kind=[RARE] * len(out), part=p, block=[block] * len(out), a=a, b=b, c=c)
 
@@ -650,6 +660,7 @@ def score(docs: DataFrame, learn: Column, path: str, pattern: str, size: int, en
         seen, values = (np.concatenate([x[i] for x in near]) for i in (0, 1))
         model.fit(texts, classes_of(seen, values[:, 0], values[:, 1:], size))
         learn_all(documents.where("learn"), n_taught, model, ids_kind)
+        give_back(spark)  # with it go the shuffle files of ids
     else:
         model.fit(texts)
 
